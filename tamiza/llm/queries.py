@@ -7,7 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiza.llm import copies, corpus, lookalike, mojibake
+from tamiza.functions.lineage import written
+from tamiza.functions.text import is_blank
+from tamiza.llm import abuse, copies, corpus, lookalike, mixing, mojibake, overlap, packing, quality, sampling
+from tamiza.llm.tokens import n_tokens
+from tamiza.plans.tables import table
+
+
+#: A text scores as a case from here.
+ABUSE_FROM = 0.5
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every review, once per id, with its score and kind."""
+    rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", complete="final_clean_text")
+    model = abuse.fit(*abuse.labelled(table(spark, sf_dir, "abuse_labels"), rows))
+    return abuse.score(rows.dropDuplicates(["tbl", "id_review"]), "text", model).drop("text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_scores(spark, sf_dir).filter(F.col("abuse_score") >= ABUSE_FROM).select("tbl", "id_review")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews and rates per table and source; an id counts for each source it is given with."""
+    sources = table(spark, sf_dir, "raw_reviews").select(F.lit("raw_reviews").alias("tbl"), "id_review", "source")
+    sources = sources.unionByName(table(spark, sf_dir, "complete").select(F.lit("complete").alias("tbl"), "id_review", "source")).distinct()
+    rows = p1_scores(spark, sf_dir).join(sources, ["tbl", "id_review"])
+    case = F.col("abuse_score") >= ABUSE_FROM
+    kinds = [F.count_if(case & (F.col("abuse_kind") == k)).alias(f"n_{k}") for k in abuse.KINDS]
+    return rows.groupBy("tbl", "source").agg(F.count("*").alias("n"), F.count_if(case).alias("n_cases"), *kinds, F.round(F.avg(case.cast("double")), 6).alias("rate"))
+
+
+def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.overlaps(table(spark, sf_dir, "fase5_records"), "rec_id", "final_clean_text", "split")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.record_pairs(*_p2(spark, sf_dir))
+
+
+def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and evaluation records per evaluation split and source."""
+    rec = table(spark, sf_dir, "fase5_records").select("rec_id", "split", "source").dropDuplicates(["rec_id"])
+    pairs = p2_found(spark, sf_dir)
+    either = pairs.select(F.col("rec_a").alias("rec_id"), F.col("rec_b").alias("other")).unionByName(pairs.select(F.col("rec_b").alias("rec_id"), F.col("rec_a").alias("other")))
+    return either.join(rec.filter(F.col("split") != "train"), "rec_id").groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("rec_id").alias("n_records"))
 
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +91,104 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p7(spark, sf_dir)[1]
 
 
+_PLANS = {
+    "fase5_records": ("emotion", lambda: F.col("emotion"), lambda: ~is_blank(F.col("final_clean_text"))),
+    "complete": ("intensity", lambda: F.col("intensity").cast("int"), lambda: F.col("intensity").between(1, 4)),
+}
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
+    """(eligible ids, needs) of each table with plans."""
+    targets, out = table(spark, sf_dir, "sample_targets"), []
+    for name, (field, category, valid) in _PLANS.items():
+        rows = sampling.eligible(table(spark, sf_dir, name), "id_review", category(), F.col("source"), valid())
+        out.append((rows, sampling.needs(rows, targets.filter((F.col("tbl") == name) & (F.col("field") == field)))))
+    return out
+
+
+def p5_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every category needs and has."""
+    (_, a), (_, b) = _p5(spark, sf_dir)
+    return a.unionByName(b)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_needs(spark, sf_dir).filter("not met").select("plan", "category").distinct()
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn ids of every plan."""
+    out = [sampling.draw(rows, sampling.quotas(rows, need)) for rows, need in _p5(spark, sf_dir)]
+    return out[0].unionByName(out[1])
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).collect()[0][0]
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", int(capacity or 2048))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir).groupBy("uid", "id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every container with its items and load."""
+    return _p8(spark, sf_dir).groupBy("container").agg(F.count("*").alias("n_items"), F.sum("size").alias("tokens"))
+
+
+def _p9(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("size"))
+    docs = written(docs)  # tokenized once, read for the sums and for the mixture
+    return docs, mixing.rates(mixing.by_source(docs), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p9(spark, sf_dir)[1].filter("not met").select("source").distinct()
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: one row per copy."""
+    docs, rate = _p9(spark, sf_dir)
+    return mixing.emitted(mixing.mix(docs, rate, "doc_id"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rate = _p9(spark, sf_dir)
+    return mixing.report(mixing.mix(docs, rate, "doc_id"), rate)
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its statistics and its probability of prose."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs.select("doc_id", "text"), "text", quality.fit(docs, "text", "doc_id")).drop("text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).filter("prose < 0.5").select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
+    "p1_rates": p1_rates,
+    "p2_found": p2_found,
+    "p2_overlap_report": p2_overlap_report,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p6_found": p6_found,
     "p6_normalized": p6_normalized,
     "p7_found": p7_found,
     "p7_copies": p7_copies,
+    "p5_found": p5_found,
+    "p5_needs": p5_needs,
+    "p5_sample": p5_sample,
+    "p8_found": p8_found,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 
 _P7 = r"""
@@ -72,7 +208,22 @@ r AS (SELECT tbl, flat, min(lo) OVER (PARTITION BY tbl, rec, CASE WHEN rec IS NU
 m AS (SELECT DISTINCT z.tbl, id_keep, id FROM z JOIN r ON z.tbl = r.tbl AND z.flat = r.flat WHERE id <> id_keep)
 """
 
+_P5 = """
+WITH e AS (
+  SELECT 'fase5_records' AS tbl, id_review, min(lower(trim(emotion, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)))) AS c FROM fase5_records
+  WHERE regexp_matches(final_clean_text, '[^\\s\\p{Z}]') AND regexp_matches(emotion, '[^\\s\\p{Z}]') AND id_review IS NOT NULL GROUP BY id_review
+  UNION ALL
+  SELECT 'complete', id_review, min(cast(cast(intensity AS integer) AS varchar)) FROM complete WHERE intensity BETWEEN 1 AND 4 AND id_review IS NOT NULL GROUP BY id_review),
+n AS (SELECT tbl, count(*) AS n FROM e GROUP BY tbl),
+h AS (SELECT tbl, c, count(*) AS available FROM e GROUP BY ALL),
+d AS (
+  SELECT plan, category, greatest(min_rows, cast(ceil(floor(coalesce(n, 0) * sample_pct / 100.0) * target_pct / 100.0) AS bigint)) AS need, coalesce(available, 0) AS available
+  FROM sample_targets t LEFT JOIN n USING (tbl) LEFT JOIN h ON h.tbl = t.tbl AND h.c = lower(trim(t.category)))
+"""
+
 ORACLES: dict[str, str] = {
+    "p5_found": _P5 + "SELECT DISTINCT plan, category FROM d WHERE available < need",
+    "p5_needs": _P5 + "SELECT plan, category, need, available, available >= need AS met FROM d",
     "p7_found": _P7 + "SELECT tbl, id_keep, id AS id_dup FROM m",
     "p7_copies": _P7 + "SELECT tbl, id_keep, count(*) + 1 AS n_copies FROM m GROUP BY ALL",
 }
