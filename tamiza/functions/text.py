@@ -157,8 +157,8 @@ def match_form(x: Column) -> Column:
 
 # ---- the rest of §2.7 -------------------------------------------------------
 
-#: Ranges removed as emoji; fixed values.
-EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{1F900}-\x{1F9FF}]+"
+#: Ranges removed as emoji; fixed values. They reach far beyond emoji, as they always did.
+EMOJI = r"[\x{24C2}-\x{1F251}\x{2600}-\x{2B55}\x{10000}-\x{10FFFF}\x{200D}\x{231A}\x{23CF}\x{23E9}\x{3030}\x{FE0F}]+"
 
 
 def remove_emoji(x: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiza.plans import problem_queries
+from tamiza.plans import problem_queries, report_queries, review_oracles, review_queries
 
-QUERIES = {**problem_queries.QUERIES}
-ORACLES = {**problem_queries.ORACLES}
+QUERIES = {**review_queries.QUERIES, **report_queries.QUERIES, **problem_queries.QUERIES}
+ORACLES = {**review_oracles.ORACLES, **report_queries.ORACLES, **problem_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problem_queries.p4_reject_counts(spark, sf_dir)
+    """Corrected, labelled and graded reviews, counted by intensity."""
+    return review_queries.intensity_distribution(spark, sf_dir)
