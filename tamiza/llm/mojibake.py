@@ -141,8 +141,9 @@ class Repairer:
 
     @staticmethod
     def _plausible(c: str) -> bool:
+        """What a text may hold, or what may be read once more (control characters of the upper half)."""
         o = ord(c)
-        return 0xA1 <= o <= 0x17F or 0x2010 <= o <= 0x2044 or o in (0xA0, 0x20AC, 0x2122, 0x200D, 0xFE0F, 0xFEFF) or 0x2190 <= o <= 0x27BF or 0x1F000 <= o <= 0x1FAFF
+        return 0x80 <= o <= 0x17F or 0x2010 <= o <= 0x2044 or o in (0x20AC, 0x2122, 0x200D, 0xFE0F, 0xFEFF) or 0x2190 <= o <= 0x27BF or 0x1F000 <= o <= 0x1FAFF
 
     def _utf8(self, group: str) -> str:
         """A group of non-ASCII characters with every UTF-8 sequence in it read again; the page that explains most characters wins."""
