@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamiza.functions.lineage import written
 from tamiza.functions.text import match_form
 
 BANDS, ROWS = 96, 8
@@ -74,7 +75,7 @@ def _digest(word: str, k: int) -> bytes:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """(band, class, side flags, n words, sketch): one row per class and band."""
+    """(band, class, n words, sketch): one row per class and band."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(20240229)
@@ -94,21 +95,18 @@ def _banded(classes: DataFrame) -> DataFrame:
                     {
                         "band": key.astype(np.int64).ravel(),
                         "cls": np.repeat(p["cls"].to_numpy(), BANDS),
-                        "side": np.repeat(p["side"].to_numpy(), BANDS),
                         "n": np.repeat(p["n"].to_numpy(), BANDS),
                         **{f"s{i}": np.repeat(bits[:, i], BANDS) for i in range(4)},
                     }
                 )
 
-    return classes.select("cls", "side", "n", "words").mapInPandas(run, "band long, cls string, side int, n int, s0 long, s1 long, s2 long, s3 long")
+    return classes.select("cls", "n", "words").mapInPandas(run, "band long, cls string, n int, s0 long, s1 long, s2 long, s3 long")
 
 
 def class_pairs(classes: DataFrame, share: float) -> DataFrame:
     """(a, b): class of the first side, class of the second, that overlap. classes: cls, side (1, 2 or 3 for both), n, words."""
-    bands = _banded(classes)
     cols = ("cls", "n", "s0", "s1", "s2", "s3")
-    left = bands.filter(F.col("side").bitwiseAND(1) > 0).select("band", *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = bands.filter(F.col("side").bitwiseAND(2) > 0).select("band", *[F.col(c).alias(f"b_{c}") for c in cols])
+    left, right = (_banded(classes.filter(F.col("side").bitwiseAND(k) > 0)).select("band", *[F.col(c).alias(f"{x}_{c}") for c in cols]) for k, x in ((1, "a"), (2, "b")))
     least = share / (2 - share)
     differ = (1 - least) / 2
     limit = int(_SKETCH * differ + 4.5 * (_SKETCH * differ * (1 - differ)) ** 0.5)
@@ -138,7 +136,8 @@ def overlaps(df: DataFrame, id_col: str, text: str, split: str, first: tuple[str
     side = F.when(F.col(split).isin(*first), 1).when(F.col(split).isin(*second), 2)
     rows = df.select(F.col(id_col).alias("id"), side.alias("side"), word_list(F.col(text)).alias("words")).filter(F.col("id").isNotNull() & F.col("side").isNotNull() & (F.size("words") >= min_words))
     rows = rows.withColumn("cls", F.md5(F.array_join("words", " ")))
-    classes = rows.groupBy("cls").agg(F.bit_or("side").alias("side"), F.first("words").alias("words")).withColumn("n", F.size("words"))
+    # Read four times below: for the bands of either side and for the words of either end of a candidate.
+    classes = written(rows.groupBy("cls").agg(F.bit_or("side").alias("side"), F.first("words").alias("words")).withColumn("n", F.size("words")))
     links = class_pairs(classes, share).unionByName(classes.filter("side = 3").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
     return rows.select("cls", "id", "side"), links
 
