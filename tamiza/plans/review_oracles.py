@@ -274,5 +274,9 @@ SELECT t1, t2, word FROM r QUALIFY row_number() OVER (PARTITION BY t1, t2 ORDER
     "short_expansions": _scalar("corrected", fold("final_clean_text", [(rf"(?i)\b{a}\b", b) for a, b in ru.SHORT_EXPANSIONS])),
     "safe_corrections": f"SELECT id_review, {fold('final_clean_text', cased(ru.SAFE, False))} AS text, {_SAFE_N} AS n FROM corrected",
     "remove_emoji": _scalar("raw_reviews", r"regexp_replace(coalesce(raw_text, ''), '[\x{24C2}-\x{1F251}\x{2600}-\x{2B55}\x{10000}-\x{10FFFF}\x{200D}\x{231A}\x{23CF}\x{23E9}\x{3030}\x{FE0F}]+', ' ', 'g')"),
+    "run_summary": f"""SELECT count(*) AS n, count(*) FILTER (NOT {_FULL('final_clean_text')}) AS n_blank, {', '.join(f'count(*) FILTER (intensity = {k}) AS n_level_{k}' for k in (1, 2, 3, 4))},
+count(*) FILTER (flag_incongruencia) AS n_flagged, round(count(*) FILTER (flag_incongruencia) * 100.0 / greatest(count(*), 1), 2) AS flagged_pct FROM complete""",
+    "edit1_candidates": f"""WITH w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(final_clean_text, '')), '{_LATIN}')) AS token FROM corrected) GROUP BY token)
+SELECT a.token, b.token AS word, damerau_levenshtein(a.token, b.token) AS d FROM w a JOIN w b ON abs(length(a.token) - length(b.token)) <= 1 WHERE a.n <= 2 AND b.n >= 20 AND damerau_levenshtein(a.token, b.token) <= 1""",
     "change_log": "SELECT id_review AS \"ID\", final_clean_text_original AS \"ANTES\", final_clean_text AS \"DESPUES\" FROM corrected WHERE final_clean_text IS DISTINCT FROM final_clean_text_original",
 }

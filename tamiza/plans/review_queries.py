@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tamiza.functions import text as tx
 from tamiza.operators import analytics as an
-from tamiza.operators import corrector, emotion, encoding, intensity, repair, sarcasm
+from tamiza.operators import corrector, emotion, encoding, external, fuzzy, intensity, repair, sarcasm
+from tamiza.plans import pipeline
 from tamiza.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,28 @@ def letter_repair_mined(s: SparkSession, d: str) -> DataFrame:
     return repair.apply_letter_rules(df.select("id_review", "final_clean_text"), "final_clean_text", repair.mined_letter_rules(df, _VOCAB))
 
 
+def annotated_reviews(s: SparkSession, d: str) -> DataFrame:
+    """The flagship path over whole reviews: corrector, emotion, intensity, incongruence."""
+    return pipeline.annotate(_complete(s, d).select("id_review", "final_clean_text", "rating", "rating_num", "base_emotion")).select("id_review", "final_clean_text", "emotion", "intensity", "flag_incongruencia", "incongruencia_motivo")
+
+
+def contextual_clean(s: SparkSession, d: str) -> DataFrame:
+    df = table(s, d, "raw_reviews").select("id_review", "raw_text")
+    return pipeline.contextual_clean(df, pipeline.corpus_lexicon(table(s, d, "complete"), ["final_clean_text"])).select("id_review", "final_clean_text")
+
+
+def deep_audit(s: SparkSession, d: str) -> DataFrame:
+    df = table(s, d, "corrected").select("id_review", "text_after_sarcasm", "final_clean_text", "clean_text", "raw_text")
+    known = repair.word_counts(table(s, d, "complete"), ["final_clean_text"], tx.SPANISH_LOWER_WORD).filter("n >= 5").withColumnRenamed("token", "word")
+    return pipeline.deep_audit(df, known).select("id_review", "final_clean_text")
+
+
+def edit1_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Rare words of the corpus and the frequent ones one edit away."""
+    n = repair.word_counts(table(s, d, "corrected"), ["final_clean_text"])
+    return fuzzy.near_words(n.filter("n <= 2").select("token"), n.filter("n >= 20").withColumnRenamed("token", "word")).select("token", "word", "d")
+
+
 def _struct(tbl: str, column: str, f, *fields: str) -> Query:
     return lambda s, d: table(s, d, tbl).select("id_review", f(F.col(column)).alias("k")).select("id_review", *[f"k.{x}" for x in fields])
 
@@ -149,5 +172,14 @@ QUERIES: dict[str, Query] = {
     "mined_split_rules": lambda s, d: repair.mined_split_rules(table(s, d, "corrected"), _VOCAB),
     "mined_repair": mined_repair,
     "missing_letter_pairs": missing_letter_pairs,
+    "annotated_reviews": annotated_reviews,
+    "run_summary": lambda s, d: pipeline.run_summary(_complete(s, d)),
+    "contextual_counts": lambda s, d: pipeline.contextual_counts(table(s, d, "raw_reviews")),
+    "contextual_clean": contextual_clean,
+    "deep_audit": deep_audit,
+    "edit1_candidates": edit1_candidates,
+    "revision_report": lambda s, d: pipeline.revision_report(table(s, d, "corrected")),
+    "sanitize_table": lambda s, d: pipeline.sanitize_table(table(s, d, "raw_reviews").select("id_review", "raw_text", "clean_text", "marca")),
+    "llm_batches": lambda s, d: external.batches(table(s, d, "raw_reviews").dropDuplicates(["id_review"]), "raw_text", buckets=16).select("bucket", "batch", "lote"),
     "change_log": lambda s, d: table(s, d, "corrected").filter(~F.col("final_clean_text").eqNullSafe(F.col("final_clean_text_original"))).select(F.col("id_review").alias("ID"), F.col("final_clean_text_original").alias("ANTES"), F.col("final_clean_text").alias("DESPUES")),
 }
