@@ -135,7 +135,8 @@ def overlaps(df: DataFrame, id_col: str, text: str, split: str, first: tuple[str
     """(members, links): (cls, id, side) of every class in a link, and (a, b) linked classes; a holds `first` records, b `second` ones, a = b for a class on both sides."""
     side = F.when(F.col(split).isin(*first), 1).when(F.col(split).isin(*second), 2)
     rows = df.select(F.col(id_col).alias("id"), side.alias("side"), word_list(F.col(text)).alias("words")).filter(F.col("id").isNotNull() & F.col("side").isNotNull() & (F.size("words") >= min_words))
-    rows = rows.withColumn("cls", F.md5(F.array_join("words", " ")))
+    # Words are cut out of the texts once: the classes and both sides' members are read from here.
+    rows = written(rows.withColumn("cls", F.md5(F.array_join("words", " "))))
     # Read four times below: for the bands of either side and for the words of either end of a candidate.
     classes = written(rows.groupBy("cls").agg(F.bit_or("side").alias("side"), F.first("words").alias("words")).withColumn("n", F.size("words")))
     links = class_pairs(classes, share).unionByName(classes.filter("side = 3").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
