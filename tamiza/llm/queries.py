@@ -15,7 +15,7 @@ from tamiza.plans.tables import table
 
 
 #: A text scores as a case from here.
-ABUSE_FROM = 0.5
+ABUSE_FROM = 0.35
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
