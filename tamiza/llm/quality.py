@@ -91,6 +91,9 @@ def statistics(raw: Column) -> dict[str, Column]:
         "common_words": per("w.common", "w.n"),
         "distinct_words": per("w.distinct", "w.n"),
         "distinct_pairs": per("w.pairs", F.greatest(get("w.n") - 1, F.lit(1.0))),
+        # As a power of the length, so that long texts compare with short ones.
+        "word_variety": F.coalesce(F.try_divide(F.log1p(get("w.distinct")), F.log1p(get("w.n"))), F.lit(0.0)),
+        "pair_variety": F.coalesce(F.try_divide(F.log1p(get("w.pairs")), F.log1p(F.greatest(get("w.n") - 1, F.lit(1.0)))), F.lit(0.0)),
         "hard_words": per("hard", "words"),
         "mixed_tokens": per("mixed", "words"),
         "one_word_lines": per("short_lines", "lines"),
@@ -99,10 +102,10 @@ def statistics(raw: Column) -> dict[str, Column]:
 
 
 NAMES = tuple(
-    "n_chars n_words n_lines mean_word_length words_per_line symbol_ratio digit_ratio upper_ratio ended_lines marked_lines label_lines sentence_ends separators common_words distinct_words distinct_pairs hard_words mixed_tokens one_word_lines commas".split()
+    "n_chars n_words n_lines mean_word_length words_per_line symbol_ratio digit_ratio upper_ratio ended_lines marked_lines label_lines sentence_ends separators common_words distinct_words distinct_pairs word_variety pair_variety hard_words mixed_tokens one_word_lines commas".split()
 )
-#: What the trees read: all but the sizes, which say nothing about the kind.
-READ = tuple(n for n in NAMES if n not in ("n_chars", "n_lines"))
+#: What the trees read: all but the sizes, which say nothing about the kind, and what falls with the size.
+READ = tuple(n for n in NAMES if n not in ("n_chars", "n_words", "n_lines", "distinct_words", "distinct_pairs"))
 
 
 def with_statistics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
@@ -113,12 +116,15 @@ def with_statistics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
 
 def weak_label(s: pd.DataFrame) -> np.ndarray:
     """1 prose, 0 structure or junk, -1 where the rules disagree or are silent."""
-    weak = (s.common_words >= 0.3) & (s.distinct_words >= 0.2) & (s.n_words >= 6)
+    varied = s.word_variety >= 0.65
+    weak = (s.common_words >= 0.22) & varied & (s.n_words >= 6) & (s.separators < 0.05) & (s.marked_lines < 0.5) & (s.label_lines < 0.5)
     strong = (s.sentence_ends >= 0.03) & (s.common_words >= 0.2) & (s.words_per_line >= 6) & (s.marked_lines <= 0.5)
     junk = (
         (s.common_words <= 0.08).astype(int)
-        + ((s.distinct_pairs <= 0.15) & (s.n_words >= 12)).astype(int)
+        + ((s.pair_variety <= 0.55) & (s.n_words >= 12)).astype(int)
         + ((s.separators >= 0.25) & (s.common_words <= 0.2)).astype(int)
+        + ((s.separators >= 0.4) & (s.sentence_ends < 0.03)).astype(int)
+        + ((s.label_lines >= 0.8) & (s.n_lines >= 4) & (s.ended_lines <= 0.2) & (s.words_per_line < 8)).astype(int)
         + ((s.marked_lines >= 0.8) & (s.n_lines >= 4) & (s.ended_lines <= 0.2)).astype(int)
         + ((s.one_word_lines >= 0.7) & (s.n_lines >= 4)).astype(int)
         + ((s.symbol_ratio >= 0.3)).astype(int)
@@ -152,7 +158,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 2.0, seed: int = 3) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 160, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 2.0, seed: int = 3) -> Trees:
     """Histogram gradient boosting with logistic loss; rows and features are subsampled per tree."""
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -163,7 +169,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate:
         p = 1 / (1 + np.exp(-z))
         g, h = y - p, p * (1 - p)
         rows = np.nonzero(rng.random(len(y)) < 0.7)[0]
-        cols = rng.permutation(x.shape[1])[: max(1, x.shape[1] * 2 // 3)]
+        cols = rng.permutation(x.shape[1])[: max(1, x.shape[1] * 2 // 5)]
         feature, cut = np.zeros(leaves - 1, dtype=np.int64), np.full(leaves - 1, np.inf)
         node = np.zeros(len(y), dtype=np.int64)
         for k in range(leaves - 1):
@@ -204,7 +210,8 @@ def calibrate(t: Trees, x: np.ndarray, y: np.ndarray) -> None:
         w = p * (1 - p) + 1e-6
         haa, hab, hbb = (w * z * z).sum() + 0.5, (w * z).sum(), w.sum() + 0.05
         det = haa * hbb - hab**2
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+        # Short steps: Newton's own overshoot where scores are saturated.
+        a, b = a - float(np.clip((hbb * ga - hab * gb) / det, -0.2, 0.2)), b - float(np.clip((haa * gb - hab * ga) / det, -0.5, 0.5))
     t.scale, t.shift = float(max(a, 0.05)), float(b)
 
 
