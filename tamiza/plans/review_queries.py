@@ -107,8 +107,8 @@ def deep_audit(s: SparkSession, d: str) -> DataFrame:
 
 
 def edit1_candidates(s: SparkSession, d: str) -> DataFrame:
-    """Rare words of the corpus and the frequent ones one edit away."""
-    n = repair.word_counts(table(s, d, "corrected"), ["final_clean_text"])
+    """Rare words of the corpus, without accents, and the frequent ones one edit away."""
+    n = repair.word_counts(table(s, d, "corrected").select(tx.match_form(F.col("final_clean_text")).alias("t")), ["t"], tx.ASCII_WORD)
     return fuzzy.near_words(n.filter("n <= 2").select("token"), n.filter("n >= 20").withColumnRenamed("token", "word")).select("token", "word", "d")
 
 
