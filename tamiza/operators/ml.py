@@ -7,6 +7,7 @@ from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def terms(df: DataFrame, text: str, name: str = "terms") -> DataFrame:
@@ -30,8 +31,8 @@ def fit(train: DataFrame, text: str, label: str, size: int = 5000, iterations: i
     norm = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
     ready = norm.transform(scale.transform(counted))
     share = ready.groupBy("label_index").agg(F.count("*").alias("__n"))
-    whole = share.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))  # one row
-    weights = share.crossJoin(F.broadcast(whole)).select("label_index", (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight"))
+    whole = Window.partitionBy()  # one row per label is left
+    weights = share.select("label_index", (F.sum("__n").over(whole) / (F.count("*").over(whole) * F.col("__n"))).alias("weight"))
     ready = ready.join(F.broadcast(weights), "label_index").select("label_index", "features", "weight").cache()  # one row per label is broadcast
     svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.001), labelCol="label_index", featuresCol="features", predictionCol="prediction", weightCol="weight").fit(ready)
     ready.unpersist()

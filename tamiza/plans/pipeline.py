@@ -33,8 +33,8 @@ def mined_repair(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def corpus_lexicon(df: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
     """(word, zipf): log10 of occurrences per billion words of the corpus itself; stands in where no lexicon is given."""
     n = repair.word_counts(df, columns, SPANISH_LOWER_WORD)
-    whole = n.agg(F.sum("n").alias("whole"))  # one row
-    return n.filter(F.col("n") >= least).crossJoin(F.broadcast(whole)).select(F.col("token").alias("word"), F.log10(F.col("n") * 1e9 / F.col("whole")).alias("zipf"))
+    whole = n.agg(F.sum("n")).collect()[0][0] or 1  # one number
+    return n.filter(F.col("n") >= least).select(F.col("token").alias("word"), F.log10(F.col("n") * 1e9 / F.lit(float(whole))).alias("zipf"))
 
 
 def _contextual_form(x):

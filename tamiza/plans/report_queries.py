@@ -100,7 +100,14 @@ m AS (SELECT label, support, CASE WHEN predicted > 0 THEN tp / predicted::double
 f AS (SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM m)
 """
 
+# Full-width letters and ordinals are plain letters to the word cloud; ñ parts words.
+_WIDE = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26)) + "ªº"
+_PLAIN = "abcdefghijklmnopqrstuvwxyz" * 2 + "ao"
+_CLOUD = f"""WITH w AS (SELECT unnest(regexp_extract_all(strip_accents(translate(replace(lower(final_clean_text), 'ñ', ' '), '{_WIDE.lower()}', '{_PLAIN}')), '[a-z]+')) AS word FROM complete)
+SELECT word, count(*) AS n FROM w WHERE length(word) >= 3 AND NOT list_contains([{', '.join(repr(x) for x in _STOP)}, 'mas'], word) GROUP BY word ORDER BY n DESC, word LIMIT 100"""
+
 ORACLES: dict[str, str] = {
+    "wordcloud_terms": _CLOUD,
     "emotion_share": "SELECT emotion AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM complete), 2) AS pct FROM complete WHERE emotion IS NOT NULL GROUP BY emotion",
     "intensity_share": _VIEW + "SELECT level AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM v), 2) AS pct FROM v GROUP BY level",
     "emotion_by_intensity": _VIEW + "SELECT emotion, cast(cast(level AS integer) AS varchar) AS \"Intensidad\", count(*) AS n FROM v WHERE emotion IS NOT NULL GROUP BY ALL",
@@ -121,9 +128,9 @@ SELECT s.emotion, n, pct, b.marca AS top_brand FROM (SELECT emotion, count(*) AS
     "accuracy": "SELECT avg((emotion IS NOT DISTINCT FROM base_emotion)::integer::double) AS accuracy FROM complete WHERE emotion IS NOT NULL AND base_emotion IS NOT NULL",
     "weighted_f1": _PAIR + "SELECT sum(f1 * support) / sum(support) AS weighted_f1 FROM f",
     "classification_report": _PAIR
-    + """SELECT * FROM f UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
-UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, sum(recall * support) / sum(support), sum(support) FROM f""",
+    + """SELECT * FROM f UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::bigint FROM f
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support)::bigint FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(recall * support) / sum(support), sum(support)::bigint FROM f""",
     "confusion_matrix": "SELECT emotion AS real, " + ", ".join(f"count(*) FILTER (base_emotion = '{x}') AS \"{x}\"" for x in _LABELS) + f" FROM complete WHERE base_emotion IS NOT NULL AND emotion IN ({', '.join(repr(x) for x in _LABELS)}) GROUP BY emotion",
     "stratified_split_counts": r"""WITH r AS (SELECT regexp_replace(emotion, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS emotion FROM fase5_records WHERE regexp_matches(final_clean_text, '[^\s\p{Z}]') AND regexp_matches(emotion, '[^\s\p{Z}]')),
 c AS (SELECT emotion, count(*) AS n, cast(floor(count(*) * 0.2 + 0.5) AS bigint) AS t FROM r GROUP BY emotion HAVING count(*) >= 2)

@@ -155,6 +155,31 @@ _TRUE = f"coalesce(lower({strip('possible_sarcasm')}) IN ('true', '1', 'si', 'ye
 _FULL = lambda c: f"coalesce(regexp_matches({c}, '[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]'), false)"
 _SAME = lambda a, b: f"count(*) FILTER ({_FULL(a)} AND {_FULL(b)} AND {a} = {b})"
 
+_CUE = r"(?i)\b(?:" + "|".join(w.replace(" ", WS + "+") for w in sa.CUES) + r")\b|/s"
+_TURN = r"(?i)\b(?:" + "|".join(w.replace(" ", WS + "+") for w in sa.CONTRASTS) + r")\b"
+
+
+def _norm_a(x: str) -> str:
+    b = rf"regexp_replace({strip(collapse(x))}, '{WS}+([.,;:!?])', '\1', 'g')"
+    return f"(CASE WHEN ends_with({b}, '.') AND NOT ends_with({b}, '...') THEN ({b})[:-2] ELSE {b} END)"
+
+
+def _judge(x: str, words, phrases) -> str:
+    n = norm(x)
+    return f"(list_has_any(regexp_extract_all({n}, '[a-z]+'), {lst(words)}) OR {' OR '.join(f'contains({n}, {q(p)})' for p in phrases)})"
+
+
+_BADX, _GOODX = (lambda x: _judge(x, sa.NEGATIVE, sa.NEGATIVE_PHRASES)), (lambda x: _judge(x, sa.POSITIVE_LOOSE, sa.POSITIVE_PHRASES))
+_SARCASM_CLEAN = f"""
+WITH a AS (SELECT id_review, final_clean_text AS x, coalesce(final_clean_text, '') AS y, {_FULL('final_clean_text')} AS full_ FROM corrected),
+b AS (SELECT *, {norm('y')} AS n FROM a),
+c AS (SELECT *, CASE WHEN NOT full_ THEN '' ELSE array_to_string(list_filter([CASE WHEN regexp_matches(n, {q(_CUE)}) THEN 'cue' END, CASE WHEN {_GOODX('y')} AND {_BADX('y')} AND regexp_matches(n, {q(_TURN)}) THEN 'positivo_vs_negativo' END], lambda v: v IS NOT NULL), '+') END AS reason FROM b),
+d AS (SELECT *, {_norm_a(f"regexp_replace(x, {q(_CUE)}, '', 'g')")} AS t FROM c),
+e AS (SELECT *, regexp_matches(t, {q(_TURN)}) AS turned, trim(regexp_extract(t, {q('(?s)^(.*?)' + _TURN)}, 1), ' ,.;:-') AS bef, trim(regexp_extract(t, {q('(?s)^.*?' + _TURN + '(.*)$')}, 1), ' ,.;:-') AS aft FROM d),
+f AS (SELECT *, CASE WHEN NOT turned OR aft = '' THEN 'cues_removed' WHEN {_BADX('aft')} AND ({_GOODX('bef')} OR NOT {_BADX('bef')}) THEN 'kept_after_contrast' WHEN {_BADX('bef')} AND {_GOODX('aft')} THEN 'kept_before_contrast' ELSE 'contrast_kept_full' END AS outcome FROM e)
+SELECT id_review, reason AS sarcasm_reason, CASE WHEN reason <> '' THEN outcome END AS sarcasm_outcome,
+CASE WHEN NOT full_ THEN x WHEN reason = '' THEN {_norm_a('x')} WHEN outcome = 'kept_after_contrast' THEN {_norm_a('aft')} WHEN outcome = 'kept_before_contrast' THEN {_norm_a('bef')} ELSE t END AS final_clean_text FROM f"""
+
 _COLS = ("final_clean_text", "clean_text", "text_after_sarcasm")
 _LATIN = "[A-Za-zÀ-ÿ]+"
 _CELLS = "WITH cells AS (" + " UNION ALL ".join(f"SELECT regexp_extract_all(lower(coalesce({c}, '')), '{_LATIN}') AS t FROM corrected" for c in _COLS) + ")"
@@ -240,6 +265,7 @@ j AS (SELECT c.id_review, final_clean_text, coalesce(({_AMB}) AND t <> '' AND t
 SELECT id_review, CASE WHEN replaced THEN t ELSE final_clean_text END AS final_clean_text, replaced FROM j""",
     "sarcasm_score": _STRICT + "SELECT id_review, score, reason FROM s",
     "sarcasm_candidates_ranked": _STRICT + f"SELECT score, id_review, rating_num, rating, reason, final_clean_text AS text FROM s WHERE score >= {sa.REPORT_FROM}",
+    "sarcasm_clean": _SARCASM_CLEAN,
     "sarcasm_audit": f"""SELECT count(*) AS rows, count(*) FILTER ({_TRUE}) AS possible_true, {_SAME('final_clean_text', 'text_after_sarcasm')} AS final_equals_after,
 {_SAME('final_clean_text', 'clean_text_updated_after_sarcasm')} AS final_equals_updated, {_SAME('final_clean_text', 'clean_text_original_pre_sarcasm')} AS final_equals_original, {_SAME('text_after_sarcasm', 'clean_text_updated_after_sarcasm')} AS after_equals_updated FROM corrected""",
     "sarcasm_audit_values": "SELECT \"column\", value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {strip(c)} AS value FROM corrected" for c in ("sarcasm_action", "sarcasm_review_status", "sarcasm_action_final")) + ") WHERE value <> '' GROUP BY ALL",
@@ -254,7 +280,7 @@ SELECT count(*) FILTER (f AND st <> 'requiere revisión manual') AS true_status,
     "bigram_counts": _CELLS + _PAIRS + _SPLIT_PAIRS + " SELECT t1, t2, n FROM p2",
     "no_vowel_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(final_clean_text, ''), '{_LATIN}')) AS token FROM corrected) WHERE length(token) >= 4 AND NOT regexp_matches(token, '[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]') GROUP BY token",
     "no_vowel_tokens_detailed": f"SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(coalesce(final_clean_text, ''), '{_LATIN}'), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '[aeiouáéíóúüñAEIOUÁÉÍÓÚÜ]') AND NOT list_contains({lst(ru.DOMAIN_TERMS)}, lower(w)))[1:5]) AS token FROM corrected) GROUP BY token",
-    "suspicious_characters": " UNION ALL ".join(f"SELECT '{c}' AS ch, coalesce(sum(length(coalesce(raw_text, '')) - length(replace(coalesce(raw_text, ''), '{c}', ''))), 0) AS n FROM raw_reviews" for c in ru.SUSPICIOUS_CHARACTERS),
+    "suspicious_characters": " UNION ALL ".join(f"SELECT '{c}' AS ch, coalesce(sum(length(coalesce(raw_text, '')) - length(replace(coalesce(raw_text, ''), '{c}', ''))), 0)::bigint AS n FROM raw_reviews" for c in ru.SUSPICIOUS_CHARACTERS),
     "mined_letter_rules": _CELLS_ES
     + f", w AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM cells) GROUP BY token)"
     + _PAIRS
