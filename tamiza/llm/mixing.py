@@ -16,12 +16,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_pct, max_repeats, size, total, want, rate, met) of (source, size) and the targets. As many rows as targets."""
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    out = targets.join(sizes, "source", "left").withColumn("size", F.coalesce("size", F.lit(0))).crossJoin(F.broadcast(total))  # total is one row
+    whole = Window.partitionBy()  # sizes and targets have one row per source
+    own = sizes.withColumn("total", F.sum("size").over(whole))
+    out = targets.join(own, "source", "left").withColumn("size", F.coalesce("size", F.lit(0))).withColumn("total", F.coalesce(F.max("total").over(whole), F.lit(0)))
     want = F.col("total") * F.col("target_pct") / 100
     most = F.col("size") * F.col("max_repeats")
     rate = F.when(F.col("size") > 0, F.least(want / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(0.0)
@@ -52,6 +54,5 @@ def report(mixed: DataFrame, rate: DataFrame, size: str = "size") -> DataFrame:
     """Per target source: its rate, whether the target can be met, the size that came out and its actual share."""
     got = mixed.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col(size) * F.col("copies")).alias("__out"), F.max("copies").alias("__most"))
     out = rate.join(got, F.col("source") == F.col("__source"), "left").withColumn("size_out", F.coalesce("__out", F.lit(0)))
-    whole = out.agg(F.sum("size_out").alias("__whole"))  # one row
-    share = F.round(F.try_divide(F.col("size_out") * 100.0, F.col("__whole")), 3)
-    return out.crossJoin(F.broadcast(whole)).select("source", "target_pct", "max_repeats", "size", "rate", "met", "size_out", F.coalesce("__most", F.lit(0)).alias("most_copies"), share.alias("actual_pct"))
+    share = F.round(F.try_divide(F.col("size_out") * 100.0, F.sum("size_out").over(Window.partitionBy())), 3)
+    return out.select("source", "target_pct", "max_repeats", "size", "rate", "met", "size_out", F.coalesce("__most", F.lit(0)).alias("most_copies"), share.alias("actual_pct"))

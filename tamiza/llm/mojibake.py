@@ -261,3 +261,39 @@ def repair(df: DataFrame, text: str, pmi: np.ndarray, garbled: str = "garbled",
     rows = df.select("*", fix(F.when(x.rlike(CANDIDATE), x)).alias("__fix"), x.alias("__was"))
     keep = [rows[c] for c in df.columns if c not in (garbled, restored)]
     return rows.select(*keep, F.coalesce(rows["__fix.garbled"], F.lit(False)).alias(garbled), F.coalesce(rows["__fix.restored"], rows["__was"]).alias(restored))
+
+
+#: Letters a lost byte may have been, and how clearly one word must lead.
+LOST_LETTERS = [*"áéíóúñü"]
+LEAD = 0.8
+
+
+def restore_lost(df: DataFrame, text: str, corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """df with lost characters (U+FFFD) restored in words where the corpus leaves one choice.
+
+    A word with one or two lost letters takes the counted word that fits it, if that
+    makes up LEAD of all that fit. corpus: (token, n) in lower case. keys tell the rows
+    apart. Other words stay as they are; so do NULL texts.
+    """
+    word = r"[\p{L}�]+"
+    lost = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(word), F.lit(0))), lambda w: w.contains(_MISSING) & w.rlike(r"\p{L}"))
+    own = df.select(*keys, F.explode(lost).alias("__w"))
+    letters = F.array(*map(F.lit, LOST_LETTERS))
+    n = F.length("__w") - F.length(F.replace("__w", F.lit(_MISSING), F.lit("")))
+    first = lambda x, c: F.concat(F.substring_index(x, _MISSING, 1), c, F.substr(x, F.length(F.substring_index(x, _MISSING, 1)) + 2))
+    words = own.select("__w").distinct().withColumn("__n", n).filter("__n <= 2").select("__w", "__n", F.explode(letters).alias("__c"))
+    words = words.withColumn("token", first(F.col("__w"), F.col("__c")))
+    two = words.filter("__n = 2").select("__w", "token", F.explode(letters).alias("__c")).select("__w", first(F.col("token"), F.col("__c")).alias("token"))
+    fits = words.filter("__n = 1").select("__w", "token").unionByName(two).join(corpus, "token")
+    best = fits.groupBy("__w").agg(F.max_by("token", "n").alias("__to"), (F.max("n") / F.sum("n")).alias("__share")).filter(F.col("__share") >= LEAD).select("__w", "__to")
+    found = own.join(best, "__w").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__w", "__to"))).alias("__m"))
+
+    def fix(p: Column) -> Column:
+        to = F.try_element_at(F.col("__m"), F.lower(p))
+        known = F.replace(p, F.lit(_MISSING), F.lit(""))
+        cased = F.when((known == F.upper(known)) & (F.length(known) > 1), F.upper(to)).when(F.substring(p, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(to, 1, 1)), F.substring(to, 2, 1 << 30))).otherwise(to)
+        return F.coalesce(cased, p)
+
+    parts = F.regexp_extract_all(F.col(text), F.lit(rf"{word}|[^\p{{L}}�]+"), F.lit(0))
+    rows = df.join(found, keys, "left")
+    return rows.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, fix), ""))).select(*df.columns)

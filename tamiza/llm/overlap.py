@@ -148,3 +148,10 @@ def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     one = members.filter("side = 1").select(F.col("cls").alias("a"), F.col("id").alias("x"))
     two = members.filter("side = 2").select(F.col("cls").alias("b"), F.col("id").alias("y"))
     return links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cls, side, n_links): every record of a linked class with the number of records it overlaps on the other side; no pair is expanded."""
+    size = members.distinct().groupBy("cls", "side").agg(F.count("*").alias("n"))
+    of = lambda me, other, side: links.join(size.filter(F.col("side") == side).select(F.col("cls").alias(other), "n"), other).groupBy(F.col(me).alias("cls")).agg(F.sum("n").alias("n_links")).withColumn("side", F.lit(3 - side))
+    return members.distinct().join(of("a", "b", 2).unionByName(of("b", "a", 1)), ["cls", "side"]).select("id", "cls", "side", "n_links")

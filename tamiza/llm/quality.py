@@ -169,7 +169,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 160, depth: int = 3, rate:
         p = 1 / (1 + np.exp(-z))
         g, h = y - p, p * (1 - p)
         rows = np.nonzero(rng.random(len(y)) < 0.7)[0]
-        cols = rng.permutation(x.shape[1])[: max(1, x.shape[1] * 2 // 5)]
+        cols = rng.permutation(x.shape[1])[: max(3, x.shape[1] * 2 // 5)]
         feature, cut = np.zeros(leaves - 1, dtype=np.int64), np.full(leaves - 1, np.inf)
         node = np.zeros(len(y), dtype=np.int64)
         for k in range(leaves - 1):

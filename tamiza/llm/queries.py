@@ -47,6 +47,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.record_pairs(*_p2(spark, sf_dir))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlapping record with its class and its number of links."""
+    return overlap.link_counts(*_p2(spark, sf_dir)).select(F.col("id").alias("rec_id"), F.col("cls").alias("class_id"), "n_links")
+
+
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and evaluation records per evaluation split and source."""
     rec = table(spark, sf_dir, "fase5_records").select("rec_id", "split", "source").dropDuplicates(["rec_id"])
@@ -56,13 +61,20 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every garbled review with its restored text."""
+    """Every garbled review with its restored text; lost letters come back where the corpus' words leave one choice."""
+    rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", corrected="final_clean_text")
+    garbled = _garbled(spark, sf_dir).dropDuplicates(["tbl", "id_review"])
+    words = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return mojibake.restore_lost(garbled, "restored", words, ["tbl", "id_review"])
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", corrected="final_clean_text")
-    return mojibake.repair(rows, "text", corpus.review_pmi(spark, sf_dir)).filter("garbled").distinct()
+    return mojibake.repair(rows, "text", corpus.review_pmi(spark, sf_dir)).filter("garbled")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_repaired(spark, sf_dir).select("tbl", "id_review").distinct()
+    return _garbled(spark, sf_dir).select("tbl", "id_review").distinct()
 
 
 def p6_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_scores": p1_scores,
     "p1_rates": p1_rates,
     "p2_found": p2_found,
+    "p2_members": p2_members,
     "p2_overlap_report": p2_overlap_report,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,

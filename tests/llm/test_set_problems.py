@@ -40,6 +40,8 @@ def test_overlaps_against_brute_force(spark):
                     want.add((min(a, b), max(a, b)))
     got = {tuple(r) for r in overlap.record_pairs(*overlap.overlaps(df, "rec_id", "t", "split")).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and (905, 906) in got
+    n = collections.Counter(x for p in got for x in p)
+    assert {r.id: r.n_links for r in overlap.link_counts(*overlap.overlaps(df, "rec_id", "t", "split")).collect()} == dict(n)
     assert overlap.record_pairs(*overlap.overlaps(df.limit(0), "rec_id", "t", "split")).count() == 0
 
 

@@ -67,6 +67,14 @@ def test_repair_frame(spark):
     assert mojibake.repair(df.limit(0), "t", table(SPANISH)).count() == 0
 
 
+def test_lost_letters(spark):
+    words = spark.createDataFrame([("batería", 9), ("también", 5), ("cambió", 5), ("cambié", 4), ("años", 3), ("él", 2)], "token string, n long")
+    df = spark.createDataFrame([(1, "La bater\ufffda, TAMBI\ufffdN", 7), (2, "cambi\ufffd", 7), (3, None, 7), (4, "\ufffd \ufffdl A\ufffdos", 7), (5, "", 7)], "i int, t string, n int")
+    got = {r.i: r.t for r in mojibake.restore_lost(df, "t", words, ["i"]).collect()}
+    assert got == {1: "La batería, TAMBIÉN", 2: "cambi\ufffd", 3: None, 4: "\ufffd él Años", 5: ""}
+    assert mojibake.restore_lost(df.limit(0), "t", words, ["i"]).count() == 0
+
+
 def test_segments_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
