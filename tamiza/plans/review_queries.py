@@ -11,7 +11,7 @@ from tamiza.functions import text as tx
 from tamiza.operators import analytics as an
 from tamiza.operators import corrector, emotion, encoding, external, fuzzy, intensity, repair, sarcasm
 from tamiza.plans import pipeline
-from tamiza.plans.tables import table
+from tamiza.plans.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def _complete(s: SparkSession, d: str) -> DataFrame:
 
 
 def _emotion(s: SparkSession, d: str) -> DataFrame:
-    return emotion.with_emotion(_complete(s, d).select("id_review", "final_clean_text", "rating_num", "rating", "base_emotion"))
+    return emotion.with_emotion(spread(_complete(s, d).select("id_review", "final_clean_text", "rating_num", "rating", "base_emotion")))
 
 
 def emotion_correction(s: SparkSession, d: str) -> DataFrame:
@@ -43,16 +43,16 @@ def incongruence_flags(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scalar(tbl: str, column: str, f) -> Query:
-    return lambda s, d: table(s, d, tbl).select("id_review", f(F.col(column)).alias("out"))
+    return lambda s, d: spread(table(s, d, tbl).select("id_review", column)).select("id_review", f(F.col(column)).alias("out"))
 
 
 def correct_corpus(s: SparkSession, d: str) -> DataFrame:
-    rows = corrector.correct(table(s, d, "corrected").select("id_review", "final_clean_text"))
+    rows = corrector.correct(spread(table(s, d, "corrected").select("id_review", "final_clean_text")))
     return rows.select("id_review", "final_clean_text", F.array_join("cambios", " | ").alias("cambios"), "clean_length_chars", "clean_length_words")
 
 
 def correction_report(s: SparkSession, d: str) -> DataFrame:
-    return corrector.change_report(corrector.correct(table(s, d, "corrected").select("id_review", "final_clean_text")))
+    return corrector.change_report(corrector.correct(spread(table(s, d, "corrected").select("id_review", "final_clean_text"))))
 
 
 def ambiguous_resolution(s: SparkSession, d: str) -> DataFrame:
@@ -61,11 +61,11 @@ def ambiguous_resolution(s: SparkSession, d: str) -> DataFrame:
 
 
 def sarcasm_score(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "corrected").select("id_review", sarcasm.strict(F.col("final_clean_text")).alias("k")).select("id_review", "k.score", "k.reason")
+    return spread(table(s, d, "corrected").select("id_review", "final_clean_text")).select("id_review", sarcasm.strict(F.col("final_clean_text")).alias("k")).select("id_review", "k.score", "k.reason")
 
 
 def sarcasm_clean(s: SparkSession, d: str) -> DataFrame:
-    return sarcasm.clean(table(s, d, "corrected").select("id_review", "final_clean_text"))
+    return sarcasm.clean(spread(table(s, d, "corrected").select("id_review", "final_clean_text")))
 
 
 def sarcasm_candidates_ranked(s: SparkSession, d: str) -> DataFrame:
@@ -92,11 +92,11 @@ def letter_repair_mined(s: SparkSession, d: str) -> DataFrame:
 
 def annotated_reviews(s: SparkSession, d: str) -> DataFrame:
     """The flagship path over whole reviews: corrector, emotion, intensity, incongruence."""
-    return pipeline.annotate(_complete(s, d).select("id_review", "final_clean_text", "rating", "rating_num", "base_emotion")).select("id_review", "final_clean_text", "emotion", "intensity", "flag_incongruencia", "incongruencia_motivo")
+    return pipeline.annotate(spread(_complete(s, d).select("id_review", "final_clean_text", "rating", "rating_num", "base_emotion"))).select("id_review", "final_clean_text", "emotion", "intensity", "flag_incongruencia", "incongruencia_motivo")
 
 
 def contextual_clean(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "raw_reviews").select("id_review", "raw_text")
+    df = spread(table(s, d, "raw_reviews").select("id_review", "raw_text"))
     return pipeline.contextual_clean(df, pipeline.corpus_lexicon(table(s, d, "complete"), ["final_clean_text"])).select("id_review", "final_clean_text")
 
 
@@ -113,7 +113,7 @@ def edit1_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _struct(tbl: str, column: str, f, *fields: str) -> Query:
-    return lambda s, d: table(s, d, tbl).select("id_review", f(F.col(column)).alias("k")).select("id_review", *[f"k.{x}" for x in fields])
+    return lambda s, d: spread(table(s, d, tbl).select("id_review", column)).select("id_review", f(F.col(column)).alias("k")).select("id_review", *[f"k.{x}" for x in fields])
 
 
 QUERIES: dict[str, Query] = {
