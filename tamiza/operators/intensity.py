@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tamiza.functions.text import has_phrase, is_blank, let, match_form, rating_value, strip, tokens
 from tamiza.lexicons import emotion as lx
 from tamiza.operators.emotion import CONTRAST, catastrophe
-from tamiza.operators.windows import any_of, first_is_plain, negated, negations, plain_count, where
+from tamiza.operators.windows import any_first_plain, any_of, negated, negations, plain_count, where
 
 
 def override(t: Column, neg: Column) -> Column:
     """What makes a text extreme by itself."""
-    phrases = any_of(first_is_plain(t, neg, p) for p in [*lx.LEGAL, *lx.FINANCIAL, *lx.LOYALTY])
+    phrases = any_first_plain(t, neg, [*lx.LEGAL, *lx.FINANCIAL, *lx.LOYALTY])
     curse = where(t, lambda x: x.isin(*lx.PROFANITY) | any_of(x.startswith(s) for s in lx.PROFANITY_STEMS))
     return catastrophe(t, neg, after=False) | phrases | F.exists(curse, lambda i: ~negated(i, neg))
 

@@ -55,8 +55,14 @@ def follows(t: Column, i: Column, phrase: str) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == w, F.lit(False)) for k, w in enumerate(phrase.split())])
 
 
-def first_is_plain(t: Column, neg: Column, phrase: str) -> Column:
-    """Only the phrase's first occurrence counts, and only if none of its words is negated."""
-    n = len(phrase.split())
-    at = F.get(where(t, lambda x: x == phrase.split()[0]), F.lit(0)) if n == 1 else F.get(F.filter(where(t, lambda x: x == phrase.split()[0]), lambda i: follows(t, i, phrase)), F.lit(0))
-    return F.coalesce(~any_of(negated(at + k, neg) for k in range(n)), F.lit(False)) & at.isNotNull()
+def any_first_plain(t: Column, neg: Column, phrases: Iterable[str]) -> Column:
+    """Some phrase's first occurrence has no negated word; its later occurrences don't count."""
+    table = F.array(*[F.array(*map(F.lit, p.split())) for p in phrases])
+
+    def test(p: Column) -> Column:
+        n = F.size(p)
+        at = F.get(F.filter(where(t, lambda x: x == p[0]), lambda i: F.slice(t, i + 1, n) == p), F.lit(0))
+        # A negation reaches the three tokens behind it.
+        return F.coalesce(~F.exists(neg, lambda g: (g + 1 <= at + n - 1) & (g + 3 >= at)), F.lit(False)) & at.isNotNull()
+
+    return F.exists(table, test)
