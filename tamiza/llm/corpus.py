@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiza.llm import mojibake
-from tamiza.plans.tables import table
+from tamiza.plans.tables import spread, table
 
 
 def texts(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
     """(tbl, id_review, text) of the named tables and their text columns."""
-    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), "id_review", F.col(c).alias("text")) for t, c in columns.items()]
+    parts = [spread(table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), "id_review", F.col(c).alias("text"))) for t, c in columns.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,7 +11,7 @@ from tamiza.functions.lineage import written
 from tamiza.functions.text import is_blank
 from tamiza.llm import abuse, copies, corpus, lookalike, mixing, mojibake, overlap, packing, quality, sampling
 from tamiza.llm.tokens import n_tokens
-from tamiza.plans.tables import table
+from tamiza.plans.tables import spread, table
 
 
 #: A text scores as a case from here.
@@ -40,7 +40,7 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return overlap.overlaps(table(spark, sf_dir, "fase5_records"), "rec_id", "final_clean_text", "split")
+    return overlap.overlaps(spread(table(spark, sf_dir, "fase5_records").select("rec_id", "final_clean_text", "split")), "rec_id", "final_clean_text", "split")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).collect()[0][0]
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", int(capacity or 2048))
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", int(capacity or 2048))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p9(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("size"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", n_tokens(F.col("text")).alias("size"))
     docs = written(docs)  # tokenized once, read for the sums and for the mixture
     return docs, mixing.rates(mixing.by_source(docs), table(spark, sf_dir, "mix_targets"))
 
@@ -171,8 +171,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its statistics and its probability of prose."""
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs.select("doc_id", "text"), "text", quality.fit(docs, "text", "doc_id")).drop("text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.score(docs, "text", quality.fit(docs, "text", "doc_id")).drop("text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
