@@ -54,15 +54,15 @@ COUNTS = {
 
 
 def _raw(x: Column) -> Column:
-    """All counts of a text in one struct; the word list is built once."""
-    tokens = F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0))
+    """All counts of a text in one struct, bound as a whole: the optimizer would otherwise count again for each statistic that uses a count."""
+    words_of = lambda t: F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0))
 
     def of_words(t: Column) -> Column:
         pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
         common = F.size(F.filter(t, lambda w: w.isin(*COMMON)))
         return F.struct(F.size(t).alias("n"), common.alias("common"), F.size(F.array_distinct(t)).alias("distinct"), F.size(F.array_distinct(pairs)).alias("pairs"))
 
-    return F.struct(F.length(x).alias("chars"), let(tokens, of_words).alias("w"), *[F.regexp_count(x, F.lit(p)).alias(k) for k, p in COUNTS.items()])
+    return let(x, lambda t: F.struct(F.length(t).alias("chars"), let(words_of(t), of_words).alias("w"), *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in COUNTS.items()]))
 
 
 def statistics(raw: Column) -> dict[str, Column]:
