@@ -259,5 +259,7 @@ def score(df: DataFrame, text: str, model: Model, name: str = "abuse_score", kin
                 ks += k
             yield pd.DataFrame({"p": np.concatenate(ps) if ps else [], "kind": pd.Series(ks, dtype=object)})
 
+    # Not deterministic to the optimizer: a filter on the score must not run the model a second time.
+    run = run.asNondeterministic()
     rows = df.select("*", run(df[text]).alias("__s"))
     return rows.select(*[rows[c] for c in df.columns if c not in (name, kind)], F.col("__s.p").alias(name), F.col("__s.kind").alias(kind))

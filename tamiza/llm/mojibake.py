@@ -257,6 +257,8 @@ def repair(df: DataFrame, text: str, pmi: np.ndarray, garbled: str = "garbled",
             got = [(None, None) if x is None else r.repair(x) for x in s]
             yield pd.DataFrame(got, columns=["garbled", "restored"]).astype(object)
 
+    # Not deterministic to the optimizer: a filter on the result must not run it a second time.
+    fix = fix.asNondeterministic()
     x = df[text]
     rows = df.select("*", fix(F.when(x.rlike(CANDIDATE), x)).alias("__fix"), x.alias("__was"))
     keep = [rows[c] for c in df.columns if c not in (garbled, restored)]

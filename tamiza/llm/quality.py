@@ -252,6 +252,7 @@ def score(df: DataFrame, text: str, trees: Trees, name: str = "prose") -> DataFr
         for p in parts:
             yield pd.Series(trees.prose(p[list(READ)].fillna(0.0).to_numpy(dtype=float)))
 
+    run = run.asNondeterministic()  # else a filter on the probability would run the trees, and their statistics, a second time
     rows = with_statistics(df.select(*[df[c] for c in df.columns if c != name]), text)
     some = F.coalesce(rows[text].rlike(r"[^\s\p{Z}]"), F.lit(False))
     return rows.select("*", F.when(some, run(F.struct(*[rows[n] for n in READ]))).alias(name))
