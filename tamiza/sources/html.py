@@ -61,7 +61,7 @@ class _Reviews(HTMLParser):
         return [r for r in (self.marked or self.classed) if r.get("raw_text", "").strip()]
 
 
-def parse_reviews(pages: DataFrame, source: str = "MercadoLibre", category: str = "laptop") -> DataFrame:
+def parse_reviews(pages: DataFrame, source: str = "", category: str = "laptop") -> DataFrame:
     """One row per review with text of pages (product_id, marca, modelo, html). A NULL page has none."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +77,7 @@ def parse_reviews(pages: DataFrame, source: str = "MercadoLibre", category: str
     return pages.select("product_id", "marca", "modelo", "html").mapInPandas(run, SCHEMA)
 
 
-def review_link(html: Column, host: str = "https://www.mercadolibre.com.mx") -> Column:
+def review_link(html: Column, host: str) -> Column:
     """The first link to the review catalogue, with host; else the link of the review summary, with host only if relative; else NULL."""
     tag = r'(?is)<a\b(?=[^>]*\bdata-testid\s*=\s*"review-summary")[^>]*\bhref\s*=\s*"([^"]*)"'
     first = F.regexp_extract(html, r'(?is)<a\b[^>]*\bhref\s*=\s*"([^"]*/noindex/catalog/reviews/[^"]*)"', 1)
