@@ -35,8 +35,6 @@ _WORD = r"[\p{L}\p{N}]+"
 
 #: Raw counts, each one pass over the text.
 COUNTS = {
-    "words": _WORD,
-    "letters": r"\p{L}",
     "lines": r"(?m)^[^\n\S]*+\S",
     "symbols": r"[^\p{L}\p{N}\s.,;:!?¡¿\"'()…“”-]",
     "digits": r"\p{N}",
@@ -58,17 +56,18 @@ def _raw(x: Column) -> Column:
     words_of = lambda t: F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0))
 
     def of_words(t: Column) -> Column:
-        pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
         common = F.size(F.filter(t, lambda w: w.isin(*COMMON)))
         return F.struct(F.size(t).alias("n"), common.alias("common"), F.size(F.array_distinct(t)).alias("distinct"), F.size(F.array_distinct(pairs)).alias("pairs"))
 
-    return let(x, lambda t: F.struct(F.length(t).alias("chars"), let(words_of(t), of_words).alias("w"), *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in COUNTS.items()]))
+    return let(x, lambda t: F.struct(F.length(t).alias("chars"), (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}++", ""))).alias("letters"), let(words_of(t), of_words).alias("w"), *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in COUNTS.items()]))
 
 
 def statistics(raw: Column) -> dict[str, Column]:
     """Name to expression over the counts; all are doubles, 0 for texts without characters."""
 
     def get(name: str) -> Column:
+        name = "w.n" if name == "words" else name
         return (raw["w"][name[2:]] if name.startswith("w.") else raw[name]).cast("double")
 
     def per(a: str, b: str | Column) -> Column:
@@ -76,7 +75,7 @@ def statistics(raw: Column) -> dict[str, Column]:
 
     return {
         "n_chars": raw["chars"].cast("double"),
-        "n_words": raw["words"].cast("double"),
+        "n_words": get("words"),
         "n_lines": raw["lines"].cast("double"),
         "mean_word_length": per("letters", "w.n"),
         "words_per_line": per("words", "lines"),
