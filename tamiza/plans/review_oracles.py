@@ -250,6 +250,7 @@ SELECT id_review, rating_num, rating, intensity, incongruencia_motivo <> '' AS f
     "clean_runs": _scalar("raw_reviews", strip(_RUNS)),
     "strip_trailing_period": _scalar("raw_reviews", "CASE WHEN ends_with(raw_text, '.') AND length(raw_text) - length(replace(raw_text, '.', '')) = 1 THEN raw_text[:-2] ELSE raw_text END"),
     "accent_strip": _scalar("raw_reviews", norm("clean_text")),
+    "accent_strip_raw": _scalar("raw_reviews", norm("raw_text")),
     "alnum_signature": _scalar("raw_reviews", "lower(regexp_replace(raw_text, '[^A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]+', '', 'g'))"),
     "length_metrics": r"SELECT id_review, length(raw_text) AS n_chars, len(regexp_extract_all(coalesce(raw_text, ''), '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+')) AS n_words FROM raw_reviews",
     "rating_value": f"SELECT id_review, rating, rating_num, coalesce({_RATING}, try_cast(nullif(regexp_extract(rating, '([0-9]+)', 1), '') AS integer)) AS value FROM complete",

@@ -128,8 +128,9 @@ QUERIES: dict[str, Query] = {
     "clean_runs": _scalar("raw_reviews", "raw_text", tx.clean_runs),
     "strip_trailing_period": _scalar("raw_reviews", "raw_text", tx.strip_only_period),
     "accent_strip": _scalar("raw_reviews", "clean_text", tx.match_form),
+    "accent_strip_raw": _scalar("raw_reviews", "raw_text", tx.match_form),
     "remove_emoji": _scalar("raw_reviews", "raw_text", tx.remove_emoji),
-    "capitalize_sentences": _scalar("raw_reviews", "clean_text", tx.capitalize_sentences),
+    "capitalize_sentences": _scalar("raw_reviews", "raw_text", tx.capitalize_sentences),
     "alnum_signature": _scalar("raw_reviews", "raw_text", tx.alnum_signature),
     "length_metrics": lambda s, d: table(s, d, "raw_reviews").select("id_review", F.length("raw_text").alias("n_chars"), tx.n_words(F.col("raw_text")).alias("n_words")),
     "rating_value": lambda s, d: table(s, d, "complete").select("id_review", "rating", "rating_num", tx.rating_value(F.col("rating_num"), F.col("rating")).alias("value")),
