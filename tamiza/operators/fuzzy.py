@@ -63,6 +63,14 @@ def near_words(queries: DataFrame, dictionary: DataFrame, distance: int = 1) ->
     return pairs.withColumn("d", within_one(a, b) if distance == 1 else F.pandas_udf(osa, "int")(a, b)).filter(F.col("d") <= distance)
 
 
+def near_frequent(counts: DataFrame, ratio: float) -> DataFrame:
+    """(token, word, d): every token of the counts (token, n) with each word one edit away that is at least `ratio` times as frequent. The bound is the pair's own, so it is the same at every size."""
+    q = counts.select("token", F.col("n").alias("own"), F.explode(deletes(F.col("token"))).alias("k"))
+    w = counts.select(F.col("token").alias("word"), "n", F.explode(deletes(F.col("token"))).alias("k"))
+    pairs = q.join(w, "k").filter(F.col("n") >= F.col("own") * ratio).select("token", "word").distinct()
+    return pairs.withColumn("d", within_one(F.col("token"), F.col("word"))).filter(F.col("d") <= 1)
+
+
 def best_words(queries: DataFrame, dictionary: DataFrame, distance: int = 1) -> DataFrame:
     """(token, word, d): nearest, then most frequent, then first by alphabet."""
     w = Window.partitionBy("token").orderBy("d", F.desc("n"), "word")

@@ -305,5 +305,7 @@ SELECT t1, t2, word FROM r QUALIFY row_number() OVER (PARTITION BY t1, t2 ORDER
 count(*) FILTER (flag_incongruencia) AS n_flagged, round(count(*) FILTER (flag_incongruencia) * 100.0 / greatest(count(*), 1), 2) AS flagged_pct FROM complete""",
     "edit1_candidates": f"""WITH w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({norm("coalesce(final_clean_text, '')")}, '[a-z]+')) AS token FROM corrected) GROUP BY token)
 SELECT a.token, b.token AS word, damerau_levenshtein(a.token, b.token) AS d FROM w a JOIN w b ON abs(length(a.token) - length(b.token)) <= 1 WHERE a.n <= 2 AND b.n >= 20 AND damerau_levenshtein(a.token, b.token) <= 1""",
+    "edit1_by_ratio": f"""WITH w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({norm("coalesce(final_clean_text, '')")}, '[a-z]+')) AS token FROM corrected) GROUP BY token)
+SELECT a.token, b.token AS word, damerau_levenshtein(a.token, b.token) AS d FROM w a JOIN w b ON abs(length(a.token) - length(b.token)) <= 1 WHERE b.n >= a.n * 10 AND damerau_levenshtein(a.token, b.token) <= 1""",
     "change_log": "SELECT id_review AS \"ID\", final_clean_text_original AS \"ANTES\", final_clean_text AS \"DESPUES\" FROM corrected WHERE final_clean_text IS DISTINCT FROM final_clean_text_original",
 }

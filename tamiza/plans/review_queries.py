@@ -112,6 +112,12 @@ def edit1_candidates(s: SparkSession, d: str) -> DataFrame:
     return fuzzy.near_words(n.filter("n <= 2").select("token"), n.filter("n >= 20").withColumnRenamed("token", "word")).select("token", "word", "d")
 
 
+def edit1_by_ratio(s: SparkSession, d: str) -> DataFrame:
+    """Every word of the corpus, without accents, with the words one edit away that are ten times as frequent or more: edit1_candidates without its bounds in absolute counts."""
+    n = repair.word_counts(table(s, d, "corrected").select(tx.match_form(F.col("final_clean_text")).alias("t")), ["t"], tx.ASCII_WORD)
+    return fuzzy.near_frequent(n, 10)
+
+
 def _struct(tbl: str, column: str, f, *fields: str) -> Query:
     return lambda s, d: spread(table(s, d, tbl).select("id_review", column)).select("id_review", f(F.col(column)).alias("k")).select("id_review", *[f"k.{x}" for x in fields])
 
@@ -179,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "contextual_clean": contextual_clean,
     "deep_audit": deep_audit,
     "edit1_candidates": edit1_candidates,
+    "edit1_by_ratio": edit1_by_ratio,
     "revision_report": lambda s, d: pipeline.revision_report(table(s, d, "corrected")),
     "sanitize_table": lambda s, d: pipeline.sanitize_table(table(s, d, "raw_reviews").select("id_review", "raw_text", "clean_text", "marca")),
     "llm_batches": lambda s, d: external.batches(table(s, d, "raw_reviews").dropDuplicates(["id_review"]), "raw_text", buckets=16).select("bucket", "batch", "lote"),

@@ -12,3 +12,12 @@ def test_text_queries_read_text(spark):
     texts = spark.read.parquet(f"{SMALL}/raw_reviews.parquet").filter(F.trim("raw_text") != "").count()
     for name in ("accent_strip_raw", "capitalize_sentences"):
         assert entry.queries()[name](spark, SMALL).filter(F.trim("out") != "").count() == texts
+
+
+def test_near_words_at_every_size(spark, tmp_path):
+    """edit1_by_ratio finds a torn word whatever the size of the corpus."""
+    for times in (1, 10):
+        texts = ["avis"] * 2 + ["aviso"] * 30 + ["otra"] * 4
+        d = tmp_path / str(times)
+        spark.createDataFrame([(t,) for t in texts * times], "final_clean_text string").write.parquet(str(d / "corrected.parquet"))
+        assert [tuple(r) for r in entry.queries()["edit1_by_ratio"](spark, str(d)).collect()] == [("avis", "aviso", 1)]
