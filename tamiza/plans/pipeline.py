@@ -30,11 +30,29 @@ def mined_repair(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return repair.clean_split_words(df, target, repair.mined_split_rules(df, columns))
 
 
-def corpus_lexicon(df: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
-    """(word, zipf): log10 of occurrences per billion words of the corpus itself; stands in where no lexicon is given."""
+#: A word of a corpus counts as known from so many occurrences per million tokens.
+KNOWN_PER_MILLION = 20.0
+
+
+def _shares(df: DataFrame, columns: list[str], per_million: float) -> DataFrame:
+    """(word, n, share) of the words with `per_million` occurrences per million tokens or more."""
     n = repair.word_counts(df, columns, SPANISH_LOWER_WORD)
-    whole = n.agg(F.sum("n")).collect()[0][0] or 1  # one number
-    return n.filter(F.col("n") >= least).select(F.col("token").alias("word"), F.log10(F.col("n") * 1e9 / F.lit(float(whole))).alias("zipf"))
+    whole = float(n.agg(F.sum("n")).collect()[0][0] or 1)  # one number
+    return n.filter(F.col("n") * 1e6 >= per_million * whole).select(F.col("token").alias("word"), "n", (F.col("n") / whole).alias("share"))
+
+
+def known_words(df: DataFrame, columns: list[str], per_million: float = KNOWN_PER_MILLION) -> DataFrame:
+    """(word, n): words with at least `per_million` occurrences per million tokens, a share of the corpus and so the same words at every size.
+
+    Below 1e6 / per_million tokens (50 000 by default) one occurrence reaches the bound: so small a corpus can't tell a
+    rare word from a misspelling, and all its words are known.
+    """
+    return _shares(df, columns, per_million).select("word", "n")
+
+
+def corpus_lexicon(df: DataFrame, columns: list[str], per_million: float = KNOWN_PER_MILLION) -> DataFrame:
+    """(word, zipf): log10 of occurrences per billion words of the corpus itself, of its known_words; stands in where no lexicon is given."""
+    return _shares(df, columns, per_million).select("word", F.log10(F.col("share") * 1e9).alias("zipf"))
 
 
 def _contextual_form(x):

@@ -102,8 +102,7 @@ def contextual_clean(s: SparkSession, d: str) -> DataFrame:
 
 def deep_audit(s: SparkSession, d: str) -> DataFrame:
     df = table(s, d, "corrected").select("id_review", "text_after_sarcasm", "final_clean_text", "clean_text", "raw_text")
-    known = repair.word_counts(table(s, d, "complete"), ["final_clean_text"], tx.SPANISH_LOWER_WORD).filter("n >= 5").withColumnRenamed("token", "word")
-    return pipeline.deep_audit(df, known).select("id_review", "final_clean_text")
+    return pipeline.deep_audit(df, pipeline.known_words(table(s, d, "complete"), ["final_clean_text"])).select("id_review", "final_clean_text")
 
 
 def edit1_candidates(s: SparkSession, d: str) -> DataFrame:

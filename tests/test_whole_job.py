@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tamiza.plans import pipeline
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,3 +22,14 @@ def test_near_words_at_every_size(spark, tmp_path):
         d = tmp_path / str(times)
         spark.createDataFrame([(t,) for t in texts * times], "final_clean_text string").write.parquet(str(d / "corrected.parquet"))
         assert [tuple(r) for r in entry.queries()["edit1_by_ratio"](spark, str(d)).collect()] == [("avis", "aviso", 1)]
+
+
+def test_known_words_at_every_size(spark, tmp_path):
+    """deep_audit repairs a document, and corpus_lexicon holds the same words, whatever the size of the corpus."""
+    for times in (1, 6):
+        corpus = spark.createDataFrame([("pantalla " * 1000,)] * (100 * times) + [("pantala",)] * times, "final_clean_text string")
+        corpus.write.parquet(str(tmp_path / str(times) / "complete.parquet"))
+        df = spark.createDataFrame([("r1", None, "la pantala", "", "la pantala")], "id_review string, text_after_sarcasm string, final_clean_text string, clean_text string, raw_text string")
+        df.write.parquet(str(tmp_path / str(times) / "corrected.parquet"))
+        assert entry.queries()["deep_audit"](spark, str(tmp_path / str(times))).collect()[0].final_clean_text == "la pantalla"
+        assert [r.word for r in pipeline.corpus_lexicon(corpus, ["final_clean_text"]).collect()] == ["pantalla"]
