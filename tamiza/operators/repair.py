@@ -8,13 +8,15 @@ a rule are looked up, by a broadcast map of checked size or, beyond it, by a joi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamiza.functions.text import LATIN_WORD, SPANISH_WORD, collapse, let, strip, strip_only_period
+from tamiza.functions.lineage import written
+from tamiza.functions.text import LATIN_WORD, SPANISH_WORD, collapse, fold_rules, let, strip, strip_only_period
 from tamiza.lexicons import rules as lx
 
 _HAS_VOWEL = "[aeiouáéíóúü]"
@@ -169,16 +171,104 @@ def clean_split_words(df: DataFrame, column: str, rules: DataFrame) -> DataFrame
     return rows.withColumn(column, strip(collapse(let(F.col(column), strip_only_period))))
 
 
-def apply_letter_rules(df: DataFrame, column: str, rules: DataFrame, name: str | None = None) -> DataFrame:
-    """D6 applied: the mined pairs, wherever they stand in the text, become their word; most frequent pairs first."""
-    from tamiza.operators.corrector import letter_repair
+#: What Java's regex stands for by an `i`, `k` or `s` in any case, besides lower().
+_FOLDED = str.maketrans("ıİK\u017f", "iiks")
+
+
+@cache
+def _word_run() -> str:
+    """Runs of what Java's Unicode \\w holds: letters, marks, decimal digits, letter numbers, connectors, joiners."""
+    import sys
+    import unicodedata
+
+    spans: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) in _IN_WORDS or c in (0x200C, 0x200D) or 0x24B6 <= c <= 0x24E9:
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]+"
+
+
+_IN_WORDS = frozenset(("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "Pc"))
+
+
+def _in_turn(run: str, rules: dict[tuple[str, str], tuple[tuple, str]]):
+    """A function of a text: the rules one after the other by rank, each wherever its pair stands by then. rules: (t1, t2) to (rank, word)."""
+    import re
+
+    words = re.compile(run)
+
+    def one(t: str) -> str:
+        last: tuple = ()
+        while True:
+            w = [(m.start(), m.end(), m[0].translate(_FOLDED).lower()) for m in words.finditer(t)]
+            hits = [rules.get((a[2], b[2])) if t[a[1] : b[0]].isspace() else None for a, b in zip(w, w[1:])]
+            rank = min((h[0] for h in hits if h and h[0] > last), default=None)
+            if rank is None:
+                return t
+            out, at, i = [], 0, 0
+            while i < len(hits):
+                if hits[i] and hits[i][0] == rank:
+                    out += [t[at : w[i][0]], hits[i][1]]
+                    at = w[i + 1][1]
+                    i += 1
+                i += 1
+            t, last = "".join(out) + t[at:], rank
+
+    return one
+
+
+def _own_rules(keyed: DataFrame, column: str, rules: DataFrame) -> DataFrame:
+    """(__row, __rules): the rules whose pair stands in the row, or may once other rules of the row have made a word of theirs."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(?U)\w+"), F.lit(0)), lambda x: F.lower(F.translate(x, "ıİK\u017f", "iiks"))))
+    has = written(keyed.select("__row", F.explode(words).alias("w")))
+    a, b = has.withColumnRenamed("w", "t1"), has.withColumnRenamed("w", "t2")
+    new = found = written(rules.join(a, "t1").join(b, ["__row", "t2"]).select("__row", "t1", "t2", "n", "word"))
+    while not new.isEmpty():
+        made = new.select("__row", F.col("word").alias("w")).distinct()
+        has = written(has.unionByName(made).distinct())
+        a, b = has.withColumnRenamed("w", "t1"), has.withColumnRenamed("w", "t2")
+        later = rules.join(made.withColumnRenamed("w", "t1"), "t1").join(b, ["__row", "t2"]).select("__row", "t1", "t2", "n", "word")
+        later = later.unionByName(rules.join(made.withColumnRenamed("w", "t2"), "t2").join(a, ["__row", "t1"]).select("__row", "t1", "t2", "n", "word"))
+        new = written(later.distinct().join(found.select("__row", "t1", "t2"), ["__row", "t1", "t2"], "left_anti"))
+        found = found.unionByName(new)
+    return found.groupBy("__row").agg(F.collect_list(F.struct("t1", "t2", "n", "word")).alias("__rules"))
+
+
+def _ranked(rules) -> dict[tuple[str, str], tuple[tuple, str]]:
+    return {(r["t1"], r["t2"]): ((-r["n"], r["t1"], r["t2"]), r["word"]) for r in rules}
+
 
+def apply_letter_rules(df: DataFrame, column: str, rules: DataFrame, name: str | None = None) -> DataFrame:
+    """D6 applied: the mined pairs, wherever they stand in the text, become their word as it is; most frequent pairs first, after the fixed rules. However many rules there are, all apply alike; up to MOST_BROADCAST travel with the tasks, beyond that only a row's own do."""
     name = name or column
-    got = rules.orderBy(F.desc("n"), "t1", "t2").limit(MOST_BROADCAST + 1).collect()
-    if len(got) <= 200:
-        return df.withColumn(name, letter_repair(F.col(column), [(rf"(?iuU)\b{r['t1']}[\s\x1c-\x1f\x85]+{r['t2']}\b", r["word"]) for r in got]))
-    fixed = df.withColumn(name, letter_repair(F.col(column)))
-    return rewrite_pairs(fixed, name, rules.select("t1", "t2", "word"))
+    run_of = _word_run()
+    fixed = fold_rules(F.col(column), [("(?iuU)" + p, to) for p, to in lx.LETTERS])
+    rules = rules.select("t1", "t2", "n", "word")
+    got = rules.limit(MOST_BROADCAST + 1).collect()
+    rows = df.withColumn("__was", F.col(column)).withColumn("__t", fixed)
+    if len(got) <= MOST_BROADCAST:
+        table = df.sparkSession.sparkContext.broadcast(_ranked(got))
+
+        @F.pandas_udf("string")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            f = _in_turn(run_of, table.value)
+            for s in parts:
+                yield s.map(lambda t: None if t is None else f(t))
+
+        rows = rows.withColumn("__t", run(F.col("__t")))
+    else:
+        keyed = written(rows.withColumn("__row", F.monotonically_increasing_id()))
+
+        @F.pandas_udf("string")
+        def each(s: pd.Series, m: pd.Series) -> pd.Series:
+            return pd.Series([t if t is None or r is None else _in_turn(run_of, _ranked(r))(t) for t, r in zip(s, m)], dtype=object)
+
+        rows = keyed.join(_own_rules(keyed, "__t", rules), "__row", "left").withColumn("__t", each(F.col("__t"), F.col("__rules"))).drop("__row", "__rules")
+    t = F.col("__t")
+    return rows.withColumn(name, F.when(t != F.col("__was"), strip(collapse(t))).otherwise(t)).drop("__was", "__t")
 
 
 def examples(df: DataFrame, group: Column, text: Column, order: Column, most: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tamiza.operators import corrector, repair
 from tamiza.plans import pipeline
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,3 +34,20 @@ def test_known_words_at_every_size(spark, tmp_path):
         df.write.parquet(str(tmp_path / str(times) / "corrected.parquet"))
         assert entry.queries()["deep_audit"](spark, str(tmp_path / str(times))).collect()[0].final_clean_text == "la pantalla"
         assert [r.word for r in pipeline.corpus_lexicon(corpus, ["final_clean_text"]).collect()] == ["pantalla"]
+
+
+def test_many_letter_rules(spark, monkeypatch):
+    """letter_repair_mined: more than 200 rules do what each does by its own regex, broadcast or joined."""
+    letters = "abcdefghijklmnop"
+    rules = [(f"zz{a}{b}", "vv", 3, f"zz{a}{b}ovv") for a in letters for b in letters]
+    rules += [("pesta", "as", 9, "pestañas"), ("compa", "era", 8, "compañera"), ("q", "s", 7, "qus"), ("qus", "caro", 6, "qusxcaro"), ("caro", "fin", 5, "caroxfin")]
+    texts = ["las Pesta\nas y la COMPA  era", "q s caro fin", "Q\u00a0S", "q s q s s", "q-s, q  s.", "xq s", "q s1", "zzab vv zzcd\tvv", "ſq s q ſ", "q s\u0301", "nada", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table = spark.createDataFrame(rules, "t1 string, t2 string, n long, word string")
+    order = sorted(rules, key=lambda r: (-r[2], r[0], r[1]))
+    one_by_one = [(rf"(?iuU)\b{a}[\s\x1c-\x1f\x85]+{b}\b", w) for a, b, _, w in order if a[:2] != "zz" or a in ("zzab", "zzcd")]
+    want = {r.i: r.t for r in df.select("i", corrector.letter_repair(F.col("t"), one_by_one).alias("t")).collect()}
+    assert want[0] == "las pestañas y la compañera" and want[1] == "qusxcaro fin"
+    for most in (200_000, 100):
+        monkeypatch.setattr(repair, "MOST_BROADCAST", most)
+        assert {r.i: r.t for r in repair.apply_letter_rules(df, "t", table).collect()} == want
