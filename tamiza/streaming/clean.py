@@ -1,4 +1,4 @@
-"""The cleaning chain on a stream: every stage is row-local, so it runs as it is; rows already seen are dropped by id within a watermark."""
+"""The cleaning chain on a stream: every stage is row-local, so it runs as it is; rows already seen are dropped by id, however late they come."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger
     return r.parquet(path)
 
 
-def new_rows(stream: DataFrame, id_col: str = "id_review", time: str = "captured_at", delay: str = "30 days") -> DataFrame:
-    """One row per id; an id may repeat up to `delay` later. State is bounded by the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_col])
+def new_rows(stream: DataFrame, id_col: str = "id_review") -> DataFrame:
+    """One row per id, however late a row or its repeat comes: no watermark, so none is dropped for its time. State is the ids seen, which grow with the table; for many, set RocksDB as the state store."""
+    return stream.dropDuplicates([id_col])
 
 
 def annotated(stream: DataFrame, base: str = "base_emotion") -> DataFrame:
@@ -28,9 +28,9 @@ def annotated(stream: DataFrame, base: str = "base_emotion") -> DataFrame:
     return annotate(stream) if base in stream.columns else intensity.with_intensity(emotion.with_emotion(stream.withColumn("base_emotion", F.lit("Neutral"))))
 
 
-def windowed_counts(stream: DataFrame, time: str = "captured_at", width: str = "1 day", delay: str = "30 days", *keys: str) -> DataFrame:
-    """Reviews per time window and keys; late rows count until the watermark passes."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+def windowed_counts(stream: DataFrame, time: str = "captured_at", width: str = "1 day", *keys: str) -> DataFrame:
+    """Reviews per time window and keys; late rows count whenever they come, so a count is never closed: output mode complete or update. State is one row per window and keys. Rows without a time are in no window."""
+    return stream.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
 def write(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

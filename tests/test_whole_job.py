@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tamiza.operators import corrector, repair
 from tamiza.plans import pipeline
+from tamiza.streaming import clean
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,3 +52,17 @@ def test_many_letter_rules(spark, monkeypatch):
     for most in (200_000, 100):
         monkeypatch.setattr(repair, "MOST_BROADCAST", most)
         assert {r.i: r.t for r in repair.apply_letter_rules(df, "t", table).collect()} == want
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    """new_rows, windowed_counts: over several batches a row months behind the newest is kept and counted, and a repeat of an id comes out once."""
+    schema = "id_review string, captured_at timestamp"
+    for key, day in [("a", "2024-06-01"), ("late", "2024-03-01"), ("b", "2024-06-02"), ("a", "2024-09-01")]:
+        one = spark.createDataFrame([(key, day)], "id_review string, day string").select("id_review", F.to_timestamp("day").alias("captured_at"))
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: clean.read(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    clean.write(clean.new_rows(read()), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.id_review for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "late"]
+    q = clean.windowed_counts(read()).writeStream.format("memory").queryName("late_counts").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((str(r.start)[:10], r.n) for r in spark.table("late_counts").collect()) == [("2024-03-01", 1), ("2024-06-01", 1), ("2024-06-02", 1), ("2024-09-01", 1)]
