@@ -156,3 +156,25 @@ def test_boost_learns():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(int)
     t = quality.boost(x[:1500], y[:1500])
     assert ((t.prose(x[1500:]) > 0.5) == y[1500:]).mean() > 0.93
+
+
+def test_search_beats_best_fit():
+    """Containers that three items fill exactly: best fit alone wastes a tenth of them."""
+    rng = np.random.default_rng(0)
+    size = []
+    for _ in range(40):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        size += [a, b, 1000 - a - b]
+    size = np.sort(np.array(size))
+    alone: packing.Bins = []
+    packing.best_fit(list(range(len(size))), size, 1000, alone, [])
+    assert len(packing.evolve(size, 1000, [], 0, 5, 60)[0]) <= len(alone) - 4
+
+
+def test_both_kinds_of_vocabulary_agree():
+    """Ranks and JSON of the same vocabulary count alike, also over long runs of white space."""
+    from tamiza.llm import tokens
+
+    texts = ["", " ", "hola, ¿qué tal? <|endoftext|>", "x" + " " * 30000 + "y", " " * 20001, " \n" * 20000 + "hola mundo", "a" * 30000, "hola" + " " * 9999 + " z " + "\n" * 12000 + " fin " + " " * 15000]
+    assert tokens.counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(texts) == tokens.counter("/opt/tokenizers/byte_bpe_50k.json")(texts)
