@@ -93,7 +93,8 @@ def _keyed(df: DataFrame, keys: list[str], id_col: str, text: str, min_words: in
 def groups(df: DataFrame, id_col: str, text: str, keys: list[str] | None = None, min_words: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members, kept): (*keys, id, id_keep) of every id that is not kept, and (*keys, id_keep, n_copies) of every group of two ids or more."""
     keys = keys or []
-    rows = _keyed(df, keys, id_col, text, min_words)
+    # Read twice below, and normalising and digesting is what costs: done once.
+    rows = written(_keyed(df, keys, id_col, text, min_words))
     # Structurally equal flat texts: one row each, combined on the map side. Plain texts are compared in full here.
     flat = rows.groupBy(*keys, "__f", "__x", "__flat").agg(
         F.min("__r").alias("__r"), F.max("__r").alias("__r2"), F.min("__s").alias("__s"), F.min("__id").alias("__lo"), F.max("__id").alias("__hi"), F.max(F.col("__r").isNull()).alias("__plain")
