@@ -12,7 +12,7 @@ scoring: look-alike and full-width letters, accents, zero-width characters,
 digits and signs for letters, letters set apart, drawn-out letters.
 
 The labels used for fitting are bounded by `most` (hash-ordered, so any size gives
-the same kind of sample); all texts are scored, whole.
+the same kind of sample) and `longest`; all texts are scored, whole.
 
 Defined cases: NULL, blank and empty texts score 0; repeated texts score alike;
 very long texts are scored sentence by sentence, long sentences by overlapping
@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,27 +43,36 @@ WINDOW, STEP = 72, 24
 _SIGNS = str.maketrans({"4": "a", "3": "e", "1": "i", "0": "o", "5": "s", "7": "t", "@": "a", "$": "s"})
 _MIXED = re.compile(r"(?=\S*[a-z])(?=\S*[0-9@$])[a-z0-9@$*]+")
 _APART = re.compile(r"(?<![a-z0-9@$])(?:[a-z0-9@$*](?:[.\-_·*]|\s)\s?){3,}[a-z0-9@$*](?![a-z0-9@$])")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+_BETWEEN = re.compile(r"[.\-_·\s]")
+_DIGITS, _DRAWN, _OTHER = re.compile(r"[0-9]+"), re.compile(r"([a-z])\1+"), re.compile(r"[^a-z0*]+")
 _ENDS = re.compile(r"[.!?¡¿…;:\n\r]+")
 _INVISIBLE = dict.fromkeys(map(ord, "\xad᠎​‌‍‎‏‪‫‬‭‮⁠﻿"))
 _LETTERS = {ord(a): b for a, b in {**lookalike.ALIKE, **lookalike.ALIKE_INSIDE}.items()} | _INVISIBLE
 
 
+@lru_cache(1 << 16)
+def _folded(run: str) -> str:
+    """A run of characters beyond ASCII without look-alikes and marks."""
+    run = unicodedata.normalize("NFKD", run.translate(_LETTERS)).translate(_LETTERS)
+    return "".join(c for c in run if not unicodedata.combining(c))
+
+
 def plain(text: str) -> str:
     """Lower case letters without accents and disguises."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_LETTERS)).translate(_LETTERS)
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _BEYOND_ASCII.sub(lambda m: _folded(m[0]), text)
     text = text.lower()
-    text = _APART.sub(lambda m: re.sub(r"[.\-_·\s]", "", m.group()), text)
-    text = _MIXED.sub(lambda m: m.group().translate(_SIGNS), text)
-    text = re.sub(r"[0-9]+", "0", text)
-    return re.sub(r"([a-z])\1+", r"\1", text)
+    text = _APART.sub(lambda m: _BETWEEN.sub("", m[0]), text)
+    text = _MIXED.sub(lambda m: m[0].translate(_SIGNS), text)
+    text = _DIGITS.sub("0", text)
+    return _DRAWN.sub(r"\1", text)
 
 
 def sentences(text: str) -> list[str]:
     out = []
     for s in _ENDS.split(plain(text)):
-        s = re.sub(r"[^a-z0*]+", " ", s).strip()
+        s = _OTHER.sub(" ", s).strip()
         if s:
             out.append(f" {s} ")
     return out
@@ -130,26 +140,42 @@ def fit_linear(idx: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.nda
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum())).astype(np.float64)
     seen = (pos + neg) > 3  # n-grams of one sentence only tell nothing about others
     ratio[~seen] = 0.0
-    w, b = np.zeros(dim), 0.0
-    gw, gb = np.full(dim, 1e-6), 1e-6
+    # What has no ratio has no effect: only the other n-grams are walked through, numbered anew.
+    use = np.flatnonzero(ratio)
+    number = np.full(dim, -1, dtype=np.int32)
+    number[use] = np.arange(len(use), dtype=np.int32)
+    x_all = number[idx]
+    scale_all = ratio[idx] / length(end - start)[row]
+    known = x_all >= 0
+    counts = np.bincount(row[known], minlength=len(start))
+    first = np.cumsum(counts) - counts
+    x_all, scale_all = x_all[known], scale_all[known]
+    w, b = np.zeros(len(use)), 0.0
+    gw, gb = np.full(len(use), 1e-6), 1e-6
+    touched = np.zeros(len(use), dtype=bool)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(start))
         for lo in range(0, len(order), 256):
             pick = order[lo : lo + 256]
-            at = np.concatenate([np.arange(start[i], end[i]) for i in pick])
-            own, x = np.repeat(np.arange(len(pick)), (end - start)[pick]), idx[at]
-            scale = ratio[x] / length((end - start)[pick])[own]
+            n = counts[pick]
+            own = np.repeat(np.arange(len(pick)), n)
+            at = np.arange(len(own)) + (first[pick] - np.cumsum(n) + n)[own]
+            x, scale = x_all[at], scale_all[at]
             z = np.bincount(own, w[x] * scale, minlength=len(pick)) + b
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * weight[pick]
-            u, inv = np.unique(x, return_inverse=True)
-            d = np.bincount(inv, g[own] * scale) / len(pick) + l2 * w[u]
+            touched[x] = True
+            u = np.flatnonzero(touched)
+            touched[u] = False
+            d = np.bincount(x, g[own] * scale, minlength=len(use))[u] / len(pick) + l2 * w[u]
             gw[u] += d * d
             w[u] -= 0.5 * d / np.sqrt(gw[u])
             db = g.mean()
             gb += db * db
             b -= 0.5 * db / np.sqrt(gb)
-    return Linear((w * ratio).astype(np.float32), float(b))
+    out = np.zeros(dim, dtype=np.float32)
+    out[use] = w * ratio[use]
+    return Linear(out, float(b))
 
 
 def scaled_logits(model: Linear, idx: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -236,11 +262,11 @@ def fit(texts: list[str], labels: list[str], rounds: int = 4) -> Model:
     return Model(model, kinds)
 
 
-def labelled(labels: DataFrame, texts: DataFrame, most: int = 12_000) -> tuple[list[str], list[str]]:
-    """At most `most` labelled texts, one label each; texts whose annotators disagree are left out."""
+def labelled(labels: DataFrame, texts: DataFrame, most: int = 12_000, longest: int = 20_000) -> tuple[list[str], list[str]]:
+    """At most `most` labelled texts of at most `longest` characters, one label each; texts whose annotators disagree are left out. Both bounds together bound what the driver holds."""
     one = labels.filter(F.col("label").isNotNull() & F.col("id_review").isNotNull()).groupBy("tbl", "id_review").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     one = one.filter("label = other").orderBy(F.xxhash64("tbl", "id_review"), "tbl", "id_review").limit(most).select("tbl", "id_review", "label")
-    rows = texts.join(F.broadcast(one), ["tbl", "id_review"]).filter(F.col("text").isNotNull())  # at most `most` rows are broadcast
+    rows = texts.join(F.broadcast(one), ["tbl", "id_review"]).filter(F.length("text") <= longest)  # at most `most` rows are broadcast
     got = rows.groupBy("tbl", "id_review").agg(F.first("text").alias("text"), F.first("label").alias("label")).orderBy("tbl", "id_review").select("text", "label").toPandas()
     return got["text"].tolist(), got["label"].tolist()
 

@@ -18,15 +18,20 @@ from tamiza.plans.tables import spread, table
 ABUSE_FROM = 0.35
 
 
-def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every review, once per id, with its score and kind."""
+def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its score and kind; rows that repeat an id score alike."""
     rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", complete="final_clean_text")
     model = abuse.fit(*abuse.labelled(table(spark, sf_dir, "abuse_labels"), rows))
-    return abuse.score(rows.dropDuplicates(["tbl", "id_review"]), "text", model).drop("text")
+    return abuse.score(rows, "text", model).drop("text")
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every review, once per id, with its score and kind."""
+    return _p1(spark, sf_dir).dropDuplicates(["tbl", "id_review"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_scores(spark, sf_dir).filter(F.col("abuse_score") >= ABUSE_FROM).select("tbl", "id_review")
+    return _p1(spark, sf_dir).filter(F.col("abuse_score") >= ABUSE_FROM).select("tbl", "id_review").distinct()
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
