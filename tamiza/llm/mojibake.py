@@ -42,10 +42,11 @@ CANDIDATE = r"[^\x00-\x7FáéíóúüñÁÉÍÓÚÜÑ]|[a-záéíóúüñ][ÁÉ
 
 #: Code pages text is wrongly read in. The order decides between readings that agree.
 PAGES = ("cp1252", "latin-1", "cp1251", "cp850", "cp437", "mac_roman", "iso8859_15", "cp1250")
-SINGLE = ("cp1252", "cp850", "cp437", "mac_roman")
+SINGLE = ("cp1252", "cp850", "cp437", "mac_roman", "latin-1")
 _SPANISH = frozenset("áéíóúüñÁÉÍÓÚÜÑ")
 _TYPOGRAPHIC = frozenset("‘’“”–—…")
 _SIGNS = _TYPOGRAPHIC | frozenset("¡¿«»°")
+_OPENING, _CLOSING = frozenset("¡¿«“‘"), frozenset("»”’…")
 _MISSING = "�"
 
 
@@ -188,10 +189,22 @@ class Repairer:
             i = j
         return "".join(out)
 
+    @staticmethod
+    def _fits(text: str, i: int, sign: str) -> bool:
+        """Whether a sign stands where such a sign would: opening ones before a word, closing ones behind, degrees behind a number."""
+        before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+        if sign in _OPENING:
+            return not before.isalnum() and (after.isalnum() or after >= "\x80")
+        if sign in _CLOSING:
+            return before != "" and not before.isspace() and not after.isalnum()
+        if sign == "°":
+            return before.isdigit() or text[max(i - 2, 0) : i - 1].isdigit()
+        return before.isspace() and after.isspace()
+
     def _swap(self, text: str, runs: list[tuple[int, int]]) -> str:
         """A code page read as another: the pair of pages that makes the runs most probable."""
-        at = sorted({i for a, b in runs for i in range(a, b) if text[i] >= "\x80" and text[i] not in _TYPOGRAPHIC})
-        if not at:
+        at = sorted({i for a, b in runs for i in range(a, b) if text[i] >= "\x80"})
+        if all(text[i] in _TYPOGRAPHIC for i in at):
             return text
         before = self._pmi(text)
         best, most = text, 0.0
@@ -210,23 +223,26 @@ class Repairer:
                     continue
                 after = self._pmi("".join(new))
                 small = self._pmi("".join(new).lower()) - 1.0 if len("".join(new).lower()) == len(text) else after
-                gain, strong, kept = 0.0, False, []
+                gain, strong, kept, better = 0.0, False, [], []
                 for i in hits:
                     x, y = before[i : i + 2].mean(), after[i : i + 2].mean()
                     if new[i].isupper():  # capitals are rarer: small letters tell as much
                         y = max(y, small[i : i + 2].mean())
                     letters = [t for t in (text[i - 1 : i] if i else "", text[i + 1 : i + 2]) if t.isalpha() and (t < "\x80" or t in _SPANISH)]
-                    case_fits = any(t.islower() == new[i].islower() for t in letters)
-                    if y - x >= GAIN and y >= REACH and case_fits:
+                    if not any(t.islower() == new[i].islower() for t in letters):
+                        continue
+                    if y > x:
+                        better.append(i)
+                    if y - x >= GAIN and y >= REACH and text[i] not in _TYPOGRAPHIC:
                         kept.append(i)
                         gain += y - x
                         strong = strong or text[i] != "\xa0"
                 if strong and gain > most:
-                    # The pages are settled; signs and quotes that carry no letters follow them.
+                    # The pages are settled: all letters they make more probable follow, and signs that carry no letters, in the runs.
                     fixed = list(text)
-                    for i in range(len(text)):
+                    for i in at:
                         c = self.char_of[right].get(self.bytes_of[wrong].get(text[i], 0), "")
-                        if i in kept or c in _SIGNS and text[i] not in _SPANISH and text[i] not in _SIGNS:
+                        if i in kept or i in better and text[i] not in _SPANISH or c in _SIGNS and text[i] not in _SPANISH and text[i] not in _SIGNS and self._fits(text, i, c):
                             fixed[i] = c
                     best, most = "".join(fixed), gain
         return best
