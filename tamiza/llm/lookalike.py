@@ -7,12 +7,16 @@ exploded to positioned code points: a broadcast join gives each its decompositio
 or look-alike, combining marks are ordered by class behind their base, a second
 broadcast join composes base and marks again, and pieces and texts are rebuilt.
 
-The common form: full-width and mathematical letters, joined letters and foreign
-spaces become plain ones; zero-width characters, direction marks and soft hyphens
-go (but not the joiner inside emoji sequences); base and mark become one
-character; letters of another script become Latin if they stand in a Latin word,
-or if the whole word consists of letters that look Latin. Foreign words, emoji,
-typographic signs, tabs and line breaks stay.
+The common form: full-width, half-width and mathematical letters, joined letters
+and foreign spaces become plain ones; zero-width characters, direction marks and
+soft hyphens go (but not the joiner inside emoji sequences); base and mark become
+one character, in canonical order; letters of another script become Latin if they
+stand in a Latin word, or if the whole word consists of letters that look Latin;
+circled letters become letters within words. Foreign words, emoji, typographic
+signs, raised and lowered signs, fractions, tabs and line breaks stay. Which
+characters have another form, and what it is, is taken from Unicode's own data;
+only the look-alikes of Latin letters are listed. Korean, and signs composed of
+several bases, are left as they are.
 
 Defined cases: NULL stays NULL; empty and blank texts stay (foreign spaces become
 plain); repeated texts are normalised once and come out alike; very long texts
@@ -22,72 +26,124 @@ their names; one named like the result is replaced.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_INVISIBLE = r"\x{00AD}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}"
-_SPACES = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+_INVISIBLE = r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}"
 _FOREIGN = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}"
 _EMOJI = r"\p{So}\x{FE0F}\x{1F3FB}-\x{1F3FF}"
 _JOINER = rf"(?<![{_EMOJI}])\x{{200D}}|\x{{200D}}(?![{_EMOJI}])"
-#: A text or piece with one of these may have to change.
-QUESTIONABLE = rf"[{_INVISIBLE}{_SPACES}\x{{0300}}-\x{{036F}}\x{{FF01}}-\x{{FF5E}}\x{{FFE0}}-\x{{FFE6}}\x{{FB00}}-\x{{FB06}}\x{{1D400}}-\x{{1D7FF}}{_FOREIGN}]|{_JOINER}"
-_LETTERS = rf"[\p{{L}}\p{{Mn}}\x{{200D}}{_INVISIBLE}]+"
-_PIECE = rf"{_LETTERS}|[^\p{{L}}\p{{Mn}}\x{{200D}}{_INVISIBLE}]+"
+_CIRCLED = r"\x{24B6}-\x{24E9}"
+_LETTERS = rf"[\p{{L}}\p{{Mn}}{_CIRCLED}\x{{200D}}{_INVISIBLE}]+"
+_PIECE = rf"{_LETTERS}|[^\p{{L}}\p{{Mn}}{_CIRCLED}\x{{200D}}{_INVISIBLE}]+"
 
 # Letters that look like Latin ones in any context.
 ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "օ": "o", "ս": "u", "հ": "h",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮍ": "Y", "Ꮓ": "Z", "Ꭵ": "i", "Ꮷ": "d",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "ɡ": "g", "ɑ": "a",
 }
 # Letters that pass for Latin ones only among Latin letters.
 ALIKE_INSIDE = {"α": "a", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "τ": "t", "ϲ": "c", "ϳ": "j", "к": "k", "м": "m", "т": "t", "п": "n", "г": "r", "ո": "n", "ց": "g"}
 
 
+#: Kinds of compatibility forms that look like the plain character.
+_SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<small>", "<isolated>", "<initial>", "<medial>", "<final>"}
+
+
 def _decomposed(ch: str) -> str:
-    if ch in "   " or unicodedata.category(ch) == "Zs" and ch != " ":
+    """What a character consists of; itself where its compatibility form looks different."""
+    if unicodedata.category(ch) == "Zs":
         return " "
-    o = ord(ch)
-    wide = 0xFF01 <= o <= 0xFF5E or 0xFFE0 <= o <= 0xFFE6 or 0xFB00 <= o <= 0xFB06 or 0x1D400 <= o <= 0x1D7FF
-    return unicodedata.normalize("NFKD" if wide else "NFD", ch)
+    name, of = unicodedata.name(ch, ""), unicodedata.decomposition(ch)
+    if not of or "HANGUL" in name or 0xAC00 <= ord(ch) <= 0xD7A3:
+        return ch
+    tag = of.split()[0]
+    if tag in _SAME_LOOK or tag == "<compat>" and name.startswith(("LATIN", "ARMENIAN SMALL LIGATURE")):
+        whole = unicodedata.normalize("NFKD", ch)
+        if " " not in whole:
+            return whole
+        return chr(int(of.split()[1], 16)) if tag == "<wide>" else ch
+    whole = unicodedata.normalize("NFD", ch)
+    # What consists of several bases (vowel signs of Indian scripts) is one character already.
+    return ch if any(not unicodedata.combining(c) for c in whole[1:]) and unicodedata.normalize("NFC", ch) == ch else whole
+
+
+def plain_form(ch: str) -> str:
+    """The common form of a single character that stands alone; invisible ones and look-alikes aside."""
+    return unicodedata.normalize("NFC", _decomposed(ch))
+
+
+@cache
+def _all() -> list[str]:
+    return [chr(o) for o in range(0x80, sys.maxunicode + 1) if not 0xD800 <= o <= 0xDFFF]
+
+
+def _ranges(chars: list[str]) -> str:
+    """A class body of the characters, in order."""
+    spans: list[list[int]] = []
+    for o in map(ord, chars):
+        if spans and spans[-1][1] == o - 1:
+            spans[-1][1] = o
+        else:
+            spans.append([o, o])
+    return "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in spans)
+
+
+def _questionable() -> str:
+    own = _ranges([c for c in _all() if c > "\xff" and plain_form(c) != c])
+    listed = _ranges(sorted({**ALIKE, **ALIKE_INSIDE}))
+    # Characters below U+0100, which most are, are settled by the first class.
+    return rf"[\x{{A0}}\x{{AD}}]|(?=[^\x00-\xFF])(?:[{own}{listed}{_CIRCLED}{_FOREIGN}{_INVISIBLE}[\p{{M}}&&[^\x{{FE00}}-\x{{FE0F}}]]]|{_JOINER})"
+
+
+#: A text or piece with one of these may have to change.
+QUESTIONABLE = _questionable()
 
 
 def characters(spark: SparkSession) -> DataFrame:
     """(ch, plain, inside): what a character becomes, in decomposed form, and what it becomes in a Latin word. Bounded by Unicode: a few thousand rows."""
     rows = {}
-    spans = [(0xA0, 0x2000), (0x2000, 0x2070), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFF01, 0xFF5F), (0xFFE0, 0xFFE7), (0x1D400, 0x1D800)]
-    for a, b in spans:
-        for ch in map(chr, range(a, b)):
-            d = _decomposed(ch)
-            if d != ch:
-                rows[ch] = [d, d]
-    for ch in [*"\xad᠎​‌‎‏‪‫‬‭‮⁠﻿"]:
-        rows[ch] = ["", ""]
+    for ch in _all():
+        d = _decomposed(ch)
+        if d != ch:
+            rows[ch] = [d, d]
+    for a, b in _HIDDEN:
+        for o in range(a, b + 1):
+            rows[chr(o)] = ["", ""]
     for ch, to in {**ALIKE, **ALIKE_INSIDE}.items():
         rows[ch] = [rows.get(ch, [ch])[0], to]
+    for o in range(0x24B6, 0x24EA):
+        rows[chr(o)] = [chr(o), unicodedata.normalize("NFKD", chr(o))]
     for ch, (plain, _) in rows.items():  # accented foreign letters: their base is looked up again
         if len(plain) > 1 and plain[0] in ALIKE | ALIKE_INSIDE:
             rows[ch][1] = (ALIKE | ALIKE_INSIDE)[plain[0]] + plain[1:]
     return spark.createDataFrame([(k, p, i) for k, (p, i) in rows.items()], "ch string, plain string, inside string")
 
 
+_HIDDEN = [tuple(int(x, 16) for x in (m[0] or m[2], m[1] or m[2])) for m in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}|\\x\{(\w+)\}", _INVISIBLE)]
+
+
 def compositions(spark: SparkSession) -> DataFrame:
     """(parts, whole): base with marks in canonical order, and the one character for it."""
     rows = []
-    for o in [*range(0xC0, 0x2000)]:
-        ch = chr(o)
-        d = unicodedata.normalize("NFD", ch)
-        if len(d) > 1 and unicodedata.normalize("NFC", d) == ch:
+    for ch in _all():
+        if unicodedata.decomposition(ch)[:1] not in ("", "<") and (d := unicodedata.normalize("NFD", ch)) != ch and unicodedata.normalize("NFC", d) == ch:
             rows.append((d, ch))
     return spark.createDataFrame(rows, "parts string, whole string")
 
 
 def _marks() -> list[tuple[str, int]]:
-    return [(chr(o), unicodedata.combining(chr(o))) for o in range(0x300, 0x370)]
+    return [(c, unicodedata.combining(c)) for c in _all() if unicodedata.combining(c)]
 
 
 def _code_points(x: Column) -> Column:
@@ -103,9 +159,10 @@ def normal_forms(texts: DataFrame) -> DataFrame:
     alike = "".join(ALIKE)
     inside = "".join(ALIKE | ALIKE_INSIDE)
     base = F.regexp_replace("piece", rf"[\p{{Mn}}\x{{200D}}{_INVISIBLE}]", "")
+    circled = base.rlike(rf"[{_CIRCLED}].*[{_CIRCLED}]|\p{{L}}[{_CIRCLED}]")
     # Accented foreign letters count by their base, so they are split before the test.
     foreign_accented = "".join(ch for o in range(0x370, 0x530) if (d := unicodedata.normalize("NFD", ch := chr(o))) != ch and d[0] in inside)
-    all_alike = base.rlike(rf"\A[{alike}{foreign_accented}]+\z")
+    all_alike = base.rlike(rf"\A[{alike}{foreign_accented}]+\z") | circled & base.rlike(rf"\A[{alike}{foreign_accented}{_CIRCLED}\p{{IsLatin}}]+\z")
     some_alike = latin & base.rlike(rf"[{inside}{foreign_accented}]")
     point = piece.select("key", "at", (some_alike | all_alike).alias("latin"), F.posexplode(_code_points(F.col("piece"))).alias("i", "ch"), "piece")
     # The joiner stays between emoji: pieces of letters hold it only next to letters, or alone between emoji.
@@ -130,13 +187,24 @@ def normal_forms(texts: DataFrame) -> DataFrame:
     return joined.select("key", F.array_join(F.transform("pieces", lambda p, i: F.coalesce(F.try_element_at("fix", i), p)), "").alias("form"))
 
 
+def _mended(touched: DataFrame) -> DataFrame:
+    """(row, form) of (row, text) whose texts are QUESTIONABLE; equal texts are mended once."""
+    touched = touched.withColumn("key", F.md5("text"))
+    forms = normal_forms(touched.groupBy("key").agg(F.first("text").alias("text")))
+    return touched.join(forms, "key").select("row", "text", "form")
+
+
 def normalize(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     """df with the common form of a text column."""
     rows = df.select(F.struct(*[df[c] for c in df.columns if c != form]).alias("row"), df[text].alias("text"))
     asked = F.coalesce(F.col("text").rlike(QUESTIONABLE), F.lit(False))
     clean = rows.filter(~asked).select("row", F.col("text").alias("form"))
-    touched = rows.filter(asked).withColumn("key", F.md5("text"))
-    forms = normal_forms(touched.groupBy("key").agg(F.first("text").alias("text")))
-    mended = touched.join(forms, "key").select("row", "form")
-    out = clean.unionByName(mended)
+    out = clean.unionByName(_mended(rows.filter(asked)).select("row", "form"))
+    return out.select("row.*", F.col("form").alias(form))
+
+
+def differing(df: DataFrame, text: str, form: str = "form") -> DataFrame:
+    """The rows of df whose common form is another text, with that form."""
+    rows = df.select(F.struct(*[df[c] for c in df.columns if c != form]).alias("row"), df[text].alias("text"))
+    out = _mended(rows.filter(F.col("text").rlike(QUESTIONABLE))).filter(F.col("form") != F.col("text"))
     return out.select("row.*", F.col("form").alias(form))

@@ -67,7 +67,8 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every garbled review with its restored text; lost letters come back where the corpus' words leave one choice."""
     rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", corrected="final_clean_text")
-    garbled = _garbled(spark, sf_dir).dropDuplicates(["tbl", "id_review"])
+    # Repaired once: its lost letters, the words they may be and the restored rows are read apart.
+    garbled = written(_garbled(spark, sf_dir).dropDuplicates(["tbl", "id_review"]))
     words = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return mojibake.restore_lost(garbled, "restored", words, ["tbl", "id_review"])
 
@@ -84,13 +85,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every review, once per id, in the common form; garbled ones are restored first."""
     rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", complete="final_clean_text").dropDuplicates(["tbl", "id_review"])
-    return lookalike.normalize(mojibake.repair(rows, "text", corpus.review_pmi(spark, sf_dir)), "restored")
+    asked = F.coalesce(F.col("text").rlike(mojibake.CANDIDATE) | F.col("text").rlike(lookalike.QUESTIONABLE), F.lit(False))
+    # Repaired once: what follows reads the repaired texts several times.
+    mended = written(mojibake.repair(rows.filter(asked), "text", corpus.review_pmi(spark, sf_dir)))
+    plain = rows.filter(~asked).select("*", F.lit(False).alias("garbled"), F.col("text").alias("restored"), F.col("text").alias("form"))
+    return lookalike.normalize(mended, "restored").unionByName(plain)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.texts(spark, sf_dir, raw_reviews="raw_text", complete="final_clean_text").filter(F.col("text").rlike(lookalike.QUESTIONABLE))
-    sound = mojibake.repair(rows.distinct(), "text", corpus.review_pmi(spark, sf_dir)).filter("not garbled").drop("restored")
-    return lookalike.normalize(sound, "text").filter(F.col("form") != F.col("text")).select("tbl", "id_review").distinct()
+    # Repaired once: what follows reads the sound texts several times.
+    sound = written(mojibake.repair(rows.distinct(), "text", corpus.review_pmi(spark, sf_dir)).filter("not garbled").drop("garbled", "restored"))
+    return lookalike.differing(sound, "text").select("tbl", "id_review").distinct()
 
 
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -195,3 +195,58 @@ def test_position_sums_match_features():
     total = np.concatenate([[0], np.cumsum(abuse.position_sums(own, w))])
     end = np.cumsum([len(s) for s in own])
     assert np.allclose(want, total[end] - total[end - [len(s) for s in own]], atol=1e-4)
+
+
+def test_every_character(spark):
+    """Each character of Unicode that has another form comes out in it; all others stay."""
+    special = {*lookalike.ALIKE, *lookalike.ALIKE_INSIDE} | {chr(o) for a, b in lookalike._HIDDEN for o in range(a, b + 1)} | {"‍"}
+    chars = [c for c in map(chr, range(0x20, 0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF and unicodedata.category(c) not in ("Cn", "Co") and not 0x3400 <= ord(c) <= 0xD7FF and not 0x20000 <= ord(c) < 0x2F800 and not 0x12000 <= ord(c) <= 0x1CFFF]
+    foreign = [c for c in chars if (d := unicodedata.normalize("NFD", c))[0] in {**lookalike.ALIKE, **lookalike.ALIKE_INSIDE}]
+    chars = [c for c in chars if c not in special and c not in set(foreign)]
+    df = spark.createDataFrame([(c,) for c in chars], "t string")
+    got = {r.t: r.form for r in lookalike.normalize(df, "t").collect()}
+    wrong = [(hex(ord(c)), got[c], lookalike.plain_form(c)) for c in chars if got[c] != lookalike.plain_form(c)]
+    assert not wrong, wrong[:20]
+    assert sum(lookalike.plain_form(c) != c for c in chars) > 3000
+    hidden = sorted({chr(o) for a, b in lookalike._HIDDEN for o in range(a, b + 1)})
+    assert {r.form for r in lookalike.normalize(spark.createDataFrame([(f"x{c}y",) for c in hidden], "t string"), "t").collect()} == {"xy"}
+
+
+def test_whole_families(spark):
+    cases = {
+        "ℎola": "hola", "Ångel": "Ångel", "ĳ ǆ ŉ": "ij dž ʼn", "ⓗⓞⓛⓐ": "hola", "hⓞla": "hola", "ᏞᎪ": "LA", "ɡracias": "gracias", "ꓮꓐ": "AB", "𝓱𝓸𝓵𝓪 𝟏": "hola 1", "ﾀﾞ": "ダ", "ｶ": "カ",
+        "① Ⓐ ™ º ² ½ … ℃ № ㎏ µ ≠ “a” ´ ¨": "① Ⓐ ™ º ² ½ … ℃ № ㎏ µ ≠ “a” ´ ¨", "한국어": "한국어", "ạ̇": "ạ̇", "ạ̇": "ạ̇", "नमस्ते สวัสดี ภาษาไทยคำ": "नमस्ते สวัสดี ภาษาไทยคำ", "1️⃣ 🇪🇸": "1️⃣ 🇪🇸",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [(r.t, r.form) for r in lookalike.normalize(df, "t").collect() if r.form != r.want] == []
+    assert {r.t for r in lookalike.differing(df, "t").collect()} == {t for t, w in cases.items() if t != w}
+
+
+def test_sound_signs_beside_damage():
+    r = mojibake.Repairer(table([*SPANISH, "El sistema es Windows® original 25 º ±3 2 × 3, 5 °C", "El botón lo explicó el técnico"] * 3))
+    for signs in ("Windows® original", "25 º de pie", "±3 por 2 × 3", "5 °C de más"):
+        text = f"El sistema es {signs}. " + "El botón lo explicó el técnico"
+        bad = f"El sistema es {signs}. " + "El botón lo explicó el técnico".encode("cp850").decode("latin-1")
+        bad = bad.replace("de más", "de m" + "á".encode("cp850").decode("latin-1") + "s")
+        garbled, got = r.repair(bad)
+        assert garbled and got == text, (bad, got)
+
+
+def test_restored_texts_are_the_originals(spark):
+    """Sound reviews of the data, garbled by known pages: what comes back is what was."""
+    from pyspark.sql import functions as F
+
+    from tamiza.llm import corpus
+
+    d = "/root/testdata/sf0.001"
+    r = mojibake.Repairer(corpus.review_pmi(spark, d))
+    texts = [x.raw_text for x in spark.read.parquet(f"{d}/raw_reviews.parquet").filter(F.col("raw_text").rlike("[áéíóúñ]")).select("raw_text").distinct().collect()]
+    texts = [t for t in texts if not r.repair(t)[0] and all(c < "Ā" for c in t)]
+    assert len(texts) > 100
+    for page, share in (("latin-1", 0.99), ("cp1252", 0.99), ("mac_roman", 0.99)):
+        bad = [(t, t.encode().decode(page, "replace")) for t in texts]
+        bad = [(t, b) for t, b in bad if "�" not in b]
+        assert sum(r.repair(b) == (True, t) for t, b in bad) >= share * len(bad), page
+    swapped = [(t, t.encode("cp850", "replace").decode("latin-1")) for t in texts]
+    swapped = [(t, b) for t, b in swapped if "?" not in b.replace("?", "", t.count("?"))]
+    assert sum(r.repair(b) == (True, t) for t, b in swapped) >= 0.85 * len(swapped)
