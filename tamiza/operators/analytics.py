@@ -189,8 +189,8 @@ def labelled_rows(df: DataFrame, text: str, label: str, least: int = 2) -> DataF
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """R2: `fold` train or test: of each label the rows of smallest hash are its test rows, exactly the rounded share. The bound is found from counts of hash ranges, so no task orders a whole label."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    keyed = df.withColumn("__key", key).withColumn("__r", F.shiftright("__key", 50))
+    key = F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string")))
+    keyed = df.withColumn("__key", key).withColumn("__r", F.substring("__key", 1, 4))
     n = keyed.groupBy(label, "__r").agg(F.count("*").alias("n"))
     run = Window.partitionBy(label).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumn("want", F.floor(F.sum("n").over(Window.partitionBy(label)) * test + 0.5))
@@ -204,7 +204,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test: float = 0.2,
 
 def random_sample(df: DataFrame, most: int, id_col: str, seed: int = 1) -> DataFrame:
     """A sample that a rerun gives again."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), id_col).limit(most)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string"))), id_col).limit(most)
 
 
 def dashboard_view(df: DataFrame) -> DataFrame:

@@ -82,15 +82,17 @@ def _variants(pattern: str, to: str, upper: bool) -> Rules:
 
 
 def safe_corrections(x: Column) -> Column:
-    """struct(text, n): case of the first letter kept; n counts all matches."""
+    """struct(text, n): case of the first letter kept; n counts what each rule replaces in the text as the rules before it left it. Texts no rule can touch skip the fold."""
+    rules = [(rf"(?iuU)\b{p.replace(chr(92) + 's', WS)}\b", _cased([(p, to)], False)) for p, to in lx.SAFE]
+    steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(a[0]).alias("p1"), F.lit(a[1]).alias("r1"), F.lit(b[0]).alias("p2"), F.lit(b[1]).alias("r2")) for p, (a, b) in rules])
+    whole = "(?iuU)" + "|".join(p.removeprefix("(?iuU)") for p, _ in rules)
+    none = lambda t: F.struct(t.alias("text"), F.when(t.isNotNull(), F.lit(0)).alias("n"))
 
-    def run(t: Column) -> Column:
-        n, now = F.lit(0), t
-        for p, _ in lx.SAFE:
-            n = n + F.regexp_count(t, F.lit(rf"(?iuU)\b{p.replace(chr(92) + 's', WS)}\b"))
-        return F.struct(fold_rules(now, _cased(lx.SAFE, False)).alias("text"), n.alias("n"))
+    def step(s: Column, r: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(s["text"], r["p1"], r["r1"]), r["p2"], r["r2"])
+        return F.struct(text.alias("text"), (s["n"] + F.regexp_count(s["text"], r["p"])).alias("n"))
 
-    return let(x, run)
+    return let(x, lambda t: F.when(t.rlike(whole), F.aggregate(steps, none(t), step)).otherwise(none(t)))
 
 
 def letter_repair(x: Column, more: Rules | None = None) -> Column:
@@ -174,11 +176,10 @@ def is_ambiguous(x: Column) -> Column:
     return torn | F.exists(toks, lambda w: (F.length(w) >= 4) & ~w.rlike("[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]") & ~F.lower(w).isin(*lx.ALLOWED_NO_VOWEL))
 
 
-def resolve_ambiguous(df: DataFrame, other: DataFrame, text: str = "final_clean_text", id_col: str = "id_review", order: str | None = None) -> DataFrame:
-    """Ambiguous texts take the text the other phase has for their id; of several the last by `order` counts. `replaced` tells where."""
+def resolve_ambiguous(df: DataFrame, other: DataFrame, text: str = "final_clean_text", id_col: str = "id_review", *, order: str) -> DataFrame:
+    """Ambiguous texts take the text the other phase has for their id; of several the last by `order`, a column of that phase, counts. `replaced` tells where."""
     one = other.filter(F.coalesce(F.col(id_col) != "", F.lit(False)))
-    last = F.max_by(F.col(text), F.col(order)) if order else F.last(F.col(text))
-    one = one.groupBy(F.col(id_col).alias("__id")).agg(last.alias("__to"))
+    one = one.groupBy(F.col(id_col).alias("__id")).agg(F.max_by(F.col(text), F.struct(order, text)).alias("__to"))
     rows = df.join(one, F.col(id_col) == F.col("__id"), "left")
     use = F.coalesce(is_ambiguous(F.col(text)) & (F.col("__to") != "") & (F.col("__to") != F.col(text)), F.lit(False))
     return rows.withColumn("replaced", use).withColumn(text, F.when(F.col("replaced"), F.col("__to")).otherwise(F.col(text))).drop("__id", "__to")

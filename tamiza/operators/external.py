@@ -52,11 +52,11 @@ def normalize_rows(df: DataFrame, column: str, normalizer: Callable[[str], str]
 
 
 def batches(df: DataFrame, column: str, id_col: str = "id_review", size: int = 30, buckets: int | None = None) -> DataFrame:
-    """(bucket, batch, lote): requests of at most `size` texts as JSON. Texts too short for the model are left out. Rows are numbered within hash buckets, so no task orders the table."""
+    """(bucket, batch, lote): requests of at most `size` texts as JSON. Texts too short for the model are left out. Rows are numbered within hash buckets of bounded size, so no task orders the table."""
     text = clip_for_model(F.col(column))
     rows = df.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).filter(F.col("text") != SHORT)
-    n = buckets or max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)))
+    n = buckets or max(1, -(-rows.count() // (size * 100)))  # a hundred requests a bucket, however many rows there are
+    rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long"), F.lit(n)))
     k = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "text"))
     rows = rows.withColumn("batch", F.floor((k - 1) / size))
     return rows.groupBy("bucket", "batch").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("lote"))).alias("lote"))
@@ -92,6 +92,22 @@ def ask(requests: DataFrame, call: Callable[[str], dict[str, str]], column: str
     return requests.select(column).mapInPandas(run, "id string, texto_limpio string")
 
 
+def failures(asked: DataFrame) -> DataFrame:
+    """(id, outcome) of the items a run could not have answered: `blocked` or `empty`; what a log of failed calls holds."""
+    outcome = F.when(F.col("texto_limpio") == BLOCKED, "blocked").when(F.col("texto_limpio").isNull(), "empty")
+    return asked.select("id", outcome.alias("outcome")).filter("outcome IS NOT NULL")
+
+
+def run_batches(df: DataFrame, column: str, call: Callable[[str], dict[str, str]], path: str, id_col: str = "id_review", size: int = 30) -> DataFrame:
+    """Df with `clean_text`. Replies are appended to a table at `path`, and a run that is repeated or resumed asks only for rows that have none there."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    todo = df.join(spark.read.parquet(path).select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti") if done else df
+    ask(batches(todo, column, id_col, size), call).write.mode("append").parquet(path)
+    return join_replies(df, spark.read.parquet(path), column, id_col)
+
+
 def join_replies(df: DataFrame, replies: DataFrame, column: str, id_col: str = "id_review", name: str = "clean_text") -> DataFrame:
     """Each row its reply; short texts their mark, rows without one the error mark."""
     one = replies.groupBy(F.col("id").alias("__id")).agg(F.max("texto_limpio").alias("__t"))

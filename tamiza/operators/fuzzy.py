@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamiza.functions.lineage import written
 from tamiza.functions.text import consonant_skeleton
 from tamiza.lexicons import rules as lx
 
 KEEP, GAIN, CORPUS = 2.2, 0.9, 2.5
 PART, STRICT, LOOSE, GAP = 3.0, 2.2, 1.6, 0.5
-#: Lexicons up to this many words are broadcast to the merge scan.
-MOST_BROADCAST = 2_000_000
 _WORD = r"(?iu)[a-záéíóúüñ]+"
 
 
@@ -121,82 +118,73 @@ def replace_tokens(df: DataFrame, column: str, corrections: DataFrame, id_cols:
     return rows.withColumn(name, F.when(F.col("__m").isNull(), F.col(column)).otherwise(F.array_join(F.transform(parts, fix), ""))).drop("__m")
 
 
-class SplitWordMerger:
-    """Scans a text's words from left to right and joins torn ones by one vowel, judged by a frequency lexicon."""
-
-    def __init__(self, zipf: dict[str, float]) -> None:
-        import re
-
-        self.zipf = zipf
-        self.parts = re.compile(r"[a-záéíóúüñ]+|[^a-záéíóúüñ]+", re.IGNORECASE)
-        self.accent = re.compile("[áéíóú]")
-
-    def freq(self, w: str) -> float:
-        return self.zipf.get(w, 0.0)
-
-    def join(self, left: str, right: str) -> tuple[str | None, float, float]:
-        """Best word with a vowel between, its frequency and the runner-up's; an accented word within a quarter wins."""
-        ranked = sorted(((self.freq(f"{left}{v}{right}"), -i, f"{left}{v}{right}") for i, v in enumerate(lx.VOWELS)), reverse=True)
-        (top, _, word), second = ranked[0], ranked[1][0]
-        if top <= 0:
-            return None, 0.0, 0.0
-        if not self.accent.search(word):
-            marked = next(((f, w) for f, _, w in ranked if f > 0 and self.accent.search(w)), None)
-            if marked and marked[0] >= top - 0.25:
-                top, word = marked
-        return word, top, second
-
-    def mergeable(self, left: str, right: str) -> bool:
-        if left in lx.NO_MERGE_WORDS or right in lx.NO_MERGE_WORDS:
-            return False
-        if any(len(w) == 1 and w not in lx.NO_MERGE_LETTERS for w in (left, right)):
-            return True
-        return not (self.freq(left) >= PART and self.freq(right) >= PART)
-
-    @staticmethod
-    def cased(word: str, like: str) -> str:
-        return word.upper() if like.isupper() else word.capitalize() if like[:1].isupper() else word
-
-    def _pair(self, p: list[str], i: int) -> tuple[str, int]:
-        """What stands for the parts from i on, and how many of them it takes."""
-        word = lambda k: k < len(p) and p[k][:1].isalpha()
-        if not (word(i) and i + 2 < len(p) and p[i + 1].isspace() and word(i + 2)):
-            return p[i], 1
-        left, right = p[i].lower(), p[i + 2].lower()
-        if left == "est" and len(right) == 1 and right in lx.VOWELS:
-            return self.cased("está", p[i] + p[i + 2]), 3
-        if left == "est" and self.freq(right) >= PART:
-            verb = right in lx.AFTER_ESTA or right.endswith(("ando", "iendo", "yendo"))
-            return self.cased("está" if verb else "esta", p[i]) + p[i + 1] + p[i + 2], 3
-        if len(right) == 1 and len(left) > 1 and self.freq(left) >= PART and i + 4 < len(p) and p[i + 3].isspace() and word(i + 4):
-            later = self.join(right, p[i + 4].lower())
-            if later[0] and later[1] >= STRICT:
-                return p[i], 1  # the single letter belongs to what follows
-        best, top, second = self.join(left, right)
-        if best and self.mergeable(left, right) and (top >= STRICT or (top >= LOOSE and top - second >= GAP)):
-            return self.cased(best, p[i] + p[i + 2]), 3
-        return p[i], 1
-
-    def merge(self, text: str) -> str:
-        p, out, i = self.parts.findall(text), [], 0
-        while i < len(p):
-            piece, n = self._pair(p, i)
-            out.append(piece)
-            i += n
-        return "".join(out)
+def _pair_words(pair: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(l, r, word, top, second): the best word that a vowel between l and r makes, its frequency and the runner-up's; an accented word within a quarter of the best wins."""
+    options = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(lx.VOWELS)])
+    made = pair.select("l", "r", F.explode(options).alias("x")).select("l", "r", "x.i", F.concat("l", "x.v", "r").alias("word")).join(lexicon.filter("zipf > 0"), "word")
+    ranked = F.sort_array(F.collect_list(F.struct("zipf", "i", "word")), asc=False)
+    marked = lambda w: w["word"].rlike("[áéíóú]")
+    top = made.groupBy("l", "r").agg(ranked.alias("w")).withColumn("m", F.when(~marked(F.col("w")[0]), F.get(F.filter("w", marked), F.lit(0))))
+    use = F.when(F.col("m.zipf") >= F.col("w")[0]["zipf"] - 0.25, F.col("m")).otherwise(F.col("w")[0])
+    return top.select("l", "r", use["word"].alias("word"), use["zipf"].alias("top"), F.coalesce(F.get("w", F.lit(1))["zipf"], F.lit(0.0)).alias("second"))
+
+
+def _pair_rulings(pair: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(l, r, kind, word, strict, waits) of the pairs that something may happen to. kind: `join` for one word, `first` where only the first word changes, NULL for neither; strict: the joined word is common; waits: r, a single letter, may belong to the word behind it."""
+    freq = lambda c: lexicon.select(F.col("word").alias(c), F.col("zipf").alias(f"f{c}"))
+    p = pair.join(_pair_words(pair, lexicon), ["l", "r"], "left").join(freq("l"), "l", "left").join(freq("r"), "r", "left").na.fill(0.0, ["fl", "fr", "top", "second"])
+    single = lambda c: (F.length(c) == 1) & ~F.col(c).isin(*lx.NO_MERGE_LETTERS)
+    torn = ~F.col("l").isin(*lx.NO_MERGE_WORDS) & ~F.col("r").isin(*lx.NO_MERGE_WORDS) & (single("l") | single("r") | (F.col("fl") < PART) | (F.col("fr") < PART))
+    clear = (F.col("top") >= STRICT) | ((F.col("top") >= LOOSE) & (F.col("top") - F.col("second") >= GAP))
+    est = F.col("l") == "est"
+    verb = F.col("r").isin(*lx.AFTER_ESTA) | F.col("r").rlike("(?:ando|iendo|yendo)$")
+    rulings = [
+        (est & F.col("r").isin(*lx.VOWELS), F.lit("join"), F.lit("está")),
+        (est & (F.col("fr") >= PART), F.lit("first"), F.when(verb, "está").otherwise("esta")),
+        (F.col("word").isNotNull() & torn & clear, F.lit("join"), F.col("word")),
+    ]
+    kind, word = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for when, k, w in reversed(rulings):
+        kind, word = F.when(when, k).otherwise(kind), F.when(when, w).otherwise(word)
+    waits = ~est & (F.length("r") == 1) & (F.length("l") > 1) & (F.col("fl") >= PART)
+    return p.select("l", "r", kind.alias("kind"), word.alias("to"), (F.col("top") >= STRICT).alias("strict"), waits.alias("waits")).filter("kind IS NOT NULL OR strict")
 
 
 def merge_split_words(df: DataFrame, column: str, lexicon: DataFrame, name: str | None = None) -> DataFrame:
-    """D15 on a column. lexicon: (word, zipf), refused beyond MOST_BROADCAST words."""
-    got = lexicon.select("word", "zipf").limit(MOST_BROADCAST + 1).collect()
-    if len(got) > MOST_BROADCAST:
-        raise ValueError(f"the lexicon has more than {MOST_BROADCAST} words; take its most frequent ones")
-    table = df.sparkSession.sparkContext.broadcast({r["word"]: r["zipf"] for r in got})
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = SplitWordMerger(table.value)
-        for s in parts:
-            yield s.map(lambda t: None if t is None else m.merge(t))
-
-    return df.withColumn(name or column, run(F.col(column)))
+    """D15 on a column: words torn in two are joined by a vowel where a lexicon (word, zipf) of any size knows the result.
+
+    Every distinct pair of neighbours is judged once, by joins with the lexicon; a text then meets the rulings of its own
+    pairs, and of rulings that overlap the leftmost one counts. NULL stays NULL.
+    """
+    name = name or column
+    rows = written(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("__n"), F.regexp_extract_all(F.col(column), F.lit(r"(?iu)[a-záéíóúüñ]+|[^a-záéíóúüñ]+"), F.lit(0)).alias("__p")))
+    is_word = lambda x: x.rlike(r"(?iu)\A[a-záéíóúüñ]")
+    blank = lambda x: x.rlike(r"(?U)\A[\s\x1c-\x1f\x85]+\z")
+    part = lambda k: F.get("__p", F.col("i") + k)
+    at = rows.select("__n", "__p", F.explode(F.sequence(F.lit(0), F.greatest(F.size("__p") - 1, F.lit(0)))).alias("i")).filter(is_word(part(0)) & blank(part(1)) & part(2).isNotNull())
+    third = F.when((F.length(part(2)) == 1) & blank(part(3)), F.lower(part(4)))
+    at = at.select("__n", "i", F.lower(part(0)).alias("l"), F.lower(part(2)).alias("r"), third.alias("t"))
+    pair = at.select("l", "r").unionByName(at.filter("t IS NOT NULL").select(F.col("r").alias("l"), F.col("t").alias("r"))).distinct()
+    ruled = written(_pair_rulings(pair, lexicon))
+    found = at.join(ruled.filter("kind IS NOT NULL"), ["l", "r"])
+    later = ruled.filter("strict").select(F.col("l").alias("r"), F.col("r").alias("t"), F.lit(True).alias("taken"))
+    found = found.join(later, ["r", "t"], "left").filter(~(F.col("waits") & F.coalesce("taken", F.lit(False))))
+    own = found.groupBy("__n").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "to"))).alias("c"))
+    # Left to right: what a ruling takes begins behind the parts of the one before.
+    none = F.array().cast("array<struct<i:int,kind:string,to:string>>")
+    chosen = F.aggregate("c", none, lambda acc, c: F.when(F.coalesce(F.array_max(F.transform(acc, lambda x: x["i"])), F.lit(-9)) + 2 < c["i"], F.concat(acc, F.array(c))).otherwise(acc))
+    own = own.select("__n", F.map_from_entries(F.transform(chosen, lambda c: F.struct(c["i"], F.struct(c["kind"], c["to"])))).alias("__m"))
+
+    def cased(word: Column, like: Column) -> Column:
+        first = F.substring(like, 1, 1)
+        return F.when(like == F.upper(like), F.upper(word)).when(first == F.upper(first), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 30))).otherwise(word)
+
+    def mended(x: Column, i: Column) -> Column:
+        here = F.try_element_at("__m", i)
+        gone = lambda k: F.coalesce(F.try_element_at("__m", i - k)["kind"] == "join", F.lit(False))
+        like = F.when(here["kind"] == "join", F.concat(x, F.coalesce(F.get("__p", i + 2), F.lit("")))).otherwise(x)
+        return F.when(here.isNotNull(), cased(here["to"], like)).when(gone(1) | gone(2), F.lit("")).otherwise(x)
+
+    text = F.when(F.col("__m").isNull(), F.col(f"row.{column}")).otherwise(F.array_join(F.transform("__p", mended), ""))
+    out = rows.join(own, "__n", "left").select("row", text.alias("__text")).select("row.*", "__text")
+    return out.withColumn(name, F.col("__text")).drop("__text")

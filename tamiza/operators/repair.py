@@ -84,14 +84,19 @@ def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def missing_letter_pairs(df: DataFrame, column: str, vocab: DataFrame, id_col: str = "id_review") -> DataFrame:
     """(id, t1, t2, candidate): short pairs that one letter joins into a known word; the first such letter counts."""
+    return missing_letters_at(df, column, vocab, F.col(id_col)).drop("at")
+
+
+def missing_letters_at(df: DataFrame, column: str, vocab: DataFrame, key: Column) -> DataFrame:
+    """(id, at, t1, t2, candidate): as missing_letter_pairs, with the key of the row and the pair's place among the row's short pairs."""
     found = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"(?U)\b[A-Za-zÀ-ÿ]{1,4}[\s\x1c-\x1f\x85]+[A-Za-zÀ-ÿ]{2,10}\b"), F.lit(0))
-    p = df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("at", "p")).select("id", "at", F.split(collapse(F.col("p")), " ").alias("w"))
+    p = df.select(key.alias("id"), F.posexplode(found).alias("at", "p")).select("id", "at", F.split(collapse(F.col("p")), " ").alias("w"))
     p = p.select("id", "at", F.col("w")[0].alias("t1"), F.col("w")[1].alias("t2")).filter(~F.lower("t1").isin(*lx.DOMAIN_TERMS) & ~F.lower("t2").isin(*lx.DOMAIN_TERMS))
     letters = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(lx.LETTERS_MISSING)])
     distinct = p.select(F.lower("t1").alias("l1"), F.lower("t2").alias("l2")).distinct()
     cand = distinct.select("l1", "l2", F.explode(letters).alias("x")).select("l1", "l2", "x.i", F.concat("l1", "x.c", "l2").alias("token"))
     best = cand.join(vocab, "token", "left_semi").groupBy("l1", "l2").agg(F.min_by("token", "i").alias("candidate"))
-    return p.join(best, (F.lower("t1") == F.col("l1")) & (F.lower("t2") == F.col("l2"))).select("id", "t1", "t2", "candidate")
+    return p.join(best, (F.lower("t1") == F.col("l1")) & (F.lower("t2") == F.col("l2"))).select("id", "at", "t1", "t2", "candidate")
 
 
 def _joined(pair: DataFrame, words: DataFrame, letters: list[str]) -> DataFrame:
@@ -154,7 +159,8 @@ def rewrite_pairs(df: DataFrame, column: str, rules: DataFrame, name: str | None
                 yield s.map(lambda t: None if t is None else f(t))
 
         return df.withColumn(name, run(F.col(column)))
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
+    # The row numbers are read twice: written once, so that both readings have the same.
+    keyed = written(df.withColumn("__row", F.monotonically_increasing_id()))
     own = keyed.select("__row", F.explode(F.array_distinct(F.transform(pairs(F.regexp_extract_all(F.lower(column), F.lit(LATIN_WORD), F.lit(0))), lambda p: F.concat_ws(" ", p["t1"], p["t2"])))).alias("k"))
     mine = own.join(rules.select(F.concat_ws(" ", "t1", "t2").alias("k"), "word"), "k").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "word"))).alias("__rules"))
 

@@ -68,10 +68,11 @@ def contextual_counts(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 def contextual_clean(df: DataFrame, lexicon: DataFrame, text: str = "raw_text", to: str = "final_clean_text") -> DataFrame:
     """D10, D12, D15, D14, D16 to D18 in their order, from the raw text; blank texts leave the target as it is."""
+    lexicon = written(lexicon)  # read at every step; it may be counted from a corpus
     rows = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__t", F.when(~is_blank(F.col(text)), corrector.chat_expansions(corrector.encoding_words(normalize_b(F.col(text)), contextual=True))))
     rows = fuzzy.merge_split_words(rows, "__t", lexicon)
     rows = written(rows.withColumn("__t", corrector.confusables(F.col("__t"))))  # its words decide how it is rewritten
-    dictionary = fuzzy.frequency_dictionary(contextual_counts(df, text), lexicon)
+    dictionary = written(fuzzy.frequency_dictionary(contextual_counts(df, text), lexicon))  # the corpus is counted once
     words = repair.word_counts(rows, ["__t"], SPANISH_LOWER_WORD).select("token")
     fixed = fuzzy.replace_tokens(rows, "__t", fuzzy.token_corrections(words, dictionary, lexicon), ["__row"])
     out = F.when(F.col("__t").isNotNull(), normalize_b(F.col("__t"))).otherwise(F.col(to) if to in df.columns else F.lit(None).cast("string"))
@@ -96,10 +97,21 @@ def sanitize_table(df: DataFrame, strict: bool = False, all_pages: bool = False)
 
 
 def revision_report(df: DataFrame, text: str = "final_clean_text", columns: tuple[str, ...] = ("final_clean_text", "clean_text", "text_after_sarcasm"), id_col: str = "id_review") -> DataFrame:
-    """(id, kind, k, finding): of each row the first five torn pairs and the first five tokens without vowels."""
-    torn = repair.missing_letter_pairs(df, text, repair.vocabulary(df, list(columns)), id_col)
-    torn = torn.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(" ", "t1", "t2", F.lit("→"), "candidate"))), 1, 5).alias("f"))
+    """(id, kind, k, finding): of each row the first five torn pairs and the first five tokens without vowels, in the order of the text."""
+    key = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))  # a row's own, as ids may repeat
+    numbered = df.select(key.alias("key"), text)  # before the pairs are dealt out, so that all of a row have its number
+    torn = repair.missing_letters_at(numbered, text, repair.vocabulary(df, list(columns)), F.col("key"))
+    torn = torn.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", F.concat_ws(" ", "t1", "t2", F.lit("→"), "candidate").alias("p")))), 1, 5)["p"].alias("f"))
+    torn = torn.select("id.id", "f")
     own = F.filter(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-zÀ-ÿ]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.rlike("[aeiouáéíóúüñAEIOUÁÉÍÓÚÜ]") & ~F.lower(w).isin(*lx.DOMAIN_TERMS))
     bare = df.select(F.col(id_col).alias("id"), F.slice(own, 1, 5).alias("f")).filter(F.size("f") > 0)
     both = torn.select("id", F.lit("torn_pair").alias("kind"), "f").unionByName(bare.select("id", F.lit("no_vowel").alias("kind"), "f"))
     return both.select("id", "kind", F.posexplode("f").alias("k", "finding"))
+
+
+def counters(before: DataFrame, after: str, text: str, hit: str | None = None) -> DataFrame:
+    """One row of a stage's counters: rows with text are processed, the others skipped; `after` is the column with the new text, `hit` a flag column whose true rows are counted as detected."""
+    full = ~is_blank(F.col(text))
+    changed = full & ~F.col(text).eqNullSafe(F.col(after))
+    detected = [F.count_if(full & F.coalesce(F.col(hit), F.lit(False))).alias("detected")] if hit else []
+    return before.agg(F.count("*").alias("rows"), F.count_if(full).alias("processed"), F.count_if(~full).alias("skipped"), F.count_if(changed).alias("changed"), *detected)

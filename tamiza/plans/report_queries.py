@@ -41,6 +41,18 @@ def stratified_split_counts(s: SparkSession, d: str) -> DataFrame:
     return an.stratified_split(rows, "emotion", "rec_id").groupBy("emotion", "fold").agg(F.count("*").alias("n"))
 
 
+def stratified_split_rows(s: SparkSession, d: str) -> DataFrame:
+    """The drawn rows themselves."""
+    rows = an.labelled_rows(table(s, d, "fase5_records").select("rec_id", "final_clean_text", "emotion"), "final_clean_text", "emotion")
+    return an.stratified_split(rows, "emotion", "rec_id").select("rec_id", "emotion", "fold")
+
+
+def review_sample(s: SparkSession, d: str) -> DataFrame:
+    """A hundred reviews; the limit is the feature."""
+    rows = table(s, d, "complete").filter("id_review IS NOT NULL").groupBy("id_review").agg(F.max("final_clean_text").alias("final_clean_text"))
+    return an.random_sample(rows, 100, "id_review")
+
+
 def sequential_ids(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").select("doc_id")
     return an.sequential_ids(rows, ["doc_id"]).select("doc_id", "id_review")
@@ -85,6 +97,8 @@ QUERIES: dict[str, Query] = {
     "classification_report": lambda s, d: an.classification_report(_predicted(s, d), "real", "pred"),
     "confusion_matrix": lambda s, d: an.confusion(_predicted(s, d), "real", "pred", _LABELS),
     "stratified_split_counts": stratified_split_counts,
+    "stratified_split_rows": stratified_split_rows,
+    "review_sample": review_sample,
     "sequential_ids": sequential_ids,
     "product_reviews": product_reviews,
     "dedup_reviews": dedup_reviews,
@@ -135,6 +149,10 @@ UNION ALL SELECT 'accuracy', NULL, NULL, sum(recall * support) / sum(support), s
     "stratified_split_counts": r"""WITH r AS (SELECT regexp_replace(emotion, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS emotion FROM fase5_records WHERE regexp_matches(final_clean_text, '[^\s\p{Z}]') AND regexp_matches(emotion, '[^\s\p{Z}]')),
 c AS (SELECT emotion, count(*) AS n, cast(floor(count(*) * 0.2 + 0.5) AS bigint) AS t FROM r GROUP BY emotion HAVING count(*) >= 2)
 SELECT emotion, 'test' AS fold, t AS n FROM c WHERE t > 0 UNION ALL SELECT emotion, 'train', n - t FROM c""",
+    "stratified_split_rows": r"""WITH r AS (SELECT rec_id, regexp_replace(emotion, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS emotion FROM fase5_records WHERE regexp_matches(final_clean_text, '[^\s\p{Z}]') AND regexp_matches(emotion, '[^\s\p{Z}]')),
+c AS (SELECT *, count(*) OVER (PARTITION BY emotion) AS n, row_number() OVER (PARTITION BY emotion ORDER BY md5('42-' || rec_id), rec_id) AS k FROM r)
+SELECT rec_id, emotion, CASE WHEN k <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS fold FROM c WHERE n >= 2""",
+    "review_sample": "SELECT id_review, max(final_clean_text) AS final_clean_text FROM complete WHERE id_review IS NOT NULL GROUP BY id_review ORDER BY md5('1-' || complete.id_review), complete.id_review LIMIT 100",
     "sequential_ids": "SELECT doc_id, printf('SHOP_%04d', row_number() OVER (ORDER BY doc_id)) AS id_review FROM documents",
     "product_reviews": "SELECT id_review, product_id, p.marca AS product_marca, p.modelo AS product_modelo, url FROM raw_reviews r JOIN products p ON p.id = r.product_id",
     "dedup_reviews": "SELECT product_id, id_review, epoch_us(loaded_at) AS loaded_us FROM (SELECT *, row_number() OVER (PARTITION BY product_id, raw_text ORDER BY loaded_at NULLS FIRST, id_review) AS k FROM raw_reviews WHERE raw_text IS NOT NULL AND product_id IS NOT NULL) WHERE k = 1",

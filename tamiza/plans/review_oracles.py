@@ -220,7 +220,6 @@ def cased(rules, upper: bool = True):
 
 
 _LETTERS = fold("final_clean_text", [("(?i)" + a, b) for a, b in ru.LETTERS])
-_SAFE_N = " + ".join(f"len(regexp_extract_all(final_clean_text, {q(f'(?i)' + chr(92) + 'b' + a.replace(chr(92) + 's', WS) + chr(92) + 'b')}))" for a, _ in ru.SAFE)
 _ASK = sorted({w.translate(str.maketrans("áéíóú", "aeiou")) for w in ru.INTERROGATIVES})
 _GOOD = sorted({w.translate(str.maketrans("áéíóú", "aeiou")) for w in ru.AFFIRMATIONS})
 _AMB = (
@@ -249,7 +248,7 @@ SELECT id_review, rating_num, rating, intensity, incongruencia_motivo <> '' AS f
     "sanitize_text": _scalar("raw_reviews", strip(collapse(rf"regexp_replace(replace(coalesce(raw_text, ''), chr(65279), ''), '{_CTRL}', ' ', 'g')"))),
     "clean_runs": _scalar("raw_reviews", strip(_RUNS)),
     "strip_trailing_period": _scalar("raw_reviews", "CASE WHEN ends_with(raw_text, '.') AND length(raw_text) - length(replace(raw_text, '.', '')) = 1 THEN raw_text[:-2] ELSE raw_text END"),
-    "accent_strip": _scalar("raw_reviews", norm("clean_text")),
+    "accent_strip": _scalar("corrected", norm("final_clean_text")),
     "accent_strip_raw": _scalar("raw_reviews", norm("raw_text")),
     "alnum_signature": _scalar("raw_reviews", "lower(regexp_replace(raw_text, '[^A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]+', '', 'g'))"),
     "length_metrics": r"SELECT id_review, length(raw_text) AS n_chars, len(regexp_extract_all(coalesce(raw_text, ''), '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+')) AS n_words FROM raw_reviews",
@@ -299,12 +298,9 @@ SELECT t1, t2, word FROM r QUALIFY row_number() OVER (PARTITION BY t1, t2 ORDER
     "letter_repair": f"SELECT id_review, CASE WHEN f <> final_clean_text THEN {strip(collapse('f'))} ELSE final_clean_text END AS out FROM (SELECT id_review, final_clean_text, {_LETTERS} AS f FROM corrected)",
     "encoding_words": _scalar("corrected", fold("final_clean_text", cased(ru.ENCODING_WORDS))),
     "short_expansions": _scalar("corrected", fold("final_clean_text", [(rf"(?i)\b{a}\b", b) for a, b in ru.SHORT_EXPANSIONS])),
-    "safe_corrections": f"SELECT id_review, {fold('final_clean_text', cased(ru.SAFE, False))} AS text, {_SAFE_N} AS n FROM corrected",
     "remove_emoji": _scalar("raw_reviews", r"regexp_replace(coalesce(raw_text, ''), '[\x{24C2}-\x{1F251}\x{2600}-\x{2B55}\x{10000}-\x{10FFFF}\x{200D}\x{231A}\x{23CF}\x{23E9}\x{3030}\x{FE0F}]+', ' ', 'g')"),
     "run_summary": f"""SELECT count(*) AS n, count(*) FILTER (NOT {_FULL('final_clean_text')}) AS n_blank, {', '.join(f'count(*) FILTER (intensity = {k}) AS n_level_{k}' for k in (1, 2, 3, 4))},
 count(*) FILTER (flag_incongruencia) AS n_flagged, round(count(*) FILTER (flag_incongruencia) * 100.0 / greatest(count(*), 1), 2) AS flagged_pct FROM complete""",
-    "edit1_candidates": f"""WITH w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({norm("coalesce(final_clean_text, '')")}, '[a-z]+')) AS token FROM corrected) GROUP BY token)
-SELECT a.token, b.token AS word, damerau_levenshtein(a.token, b.token) AS d FROM w a JOIN w b ON abs(length(a.token) - length(b.token)) <= 1 WHERE a.n <= 2 AND b.n >= 20 AND damerau_levenshtein(a.token, b.token) <= 1""",
     "edit1_by_ratio": f"""WITH w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({norm("coalesce(final_clean_text, '')")}, '[a-z]+')) AS token FROM corrected) GROUP BY token)
 SELECT a.token, b.token AS word, damerau_levenshtein(a.token, b.token) AS d FROM w a JOIN w b ON abs(length(a.token) - length(b.token)) <= 1 WHERE b.n >= a.n * 10 AND damerau_levenshtein(a.token, b.token) <= 1""",
     "change_log": "SELECT id_review AS \"ID\", final_clean_text_original AS \"ANTES\", final_clean_text AS \"DESPUES\" FROM corrected WHERE final_clean_text IS DISTINCT FROM final_clean_text_original",

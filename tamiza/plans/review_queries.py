@@ -57,7 +57,7 @@ def correction_report(s: SparkSession, d: str) -> DataFrame:
 
 def ambiguous_resolution(s: SparkSession, d: str) -> DataFrame:
     phase2 = table(s, d, "corrected").groupBy("id_review").agg(F.max("text_pre_v7").alias("final_clean_text"))
-    return corrector.resolve_ambiguous(table(s, d, "complete").select("id_review", "final_clean_text"), phase2)
+    return corrector.resolve_ambiguous(table(s, d, "complete").select("id_review", "final_clean_text"), phase2, order="final_clean_text")
 
 
 def sarcasm_score(s: SparkSession, d: str) -> DataFrame:
@@ -105,14 +105,8 @@ def deep_audit(s: SparkSession, d: str) -> DataFrame:
     return pipeline.deep_audit(df, pipeline.known_words(table(s, d, "complete"), ["final_clean_text"])).select("id_review", "final_clean_text")
 
 
-def edit1_candidates(s: SparkSession, d: str) -> DataFrame:
-    """Rare words of the corpus, without accents, and the frequent ones one edit away."""
-    n = repair.word_counts(table(s, d, "corrected").select(tx.match_form(F.col("final_clean_text")).alias("t")), ["t"], tx.ASCII_WORD)
-    return fuzzy.near_words(n.filter("n <= 2").select("token"), n.filter("n >= 20").withColumnRenamed("token", "word")).select("token", "word", "d")
-
-
 def edit1_by_ratio(s: SparkSession, d: str) -> DataFrame:
-    """Every word of the corpus, without accents, with the words one edit away that are ten times as frequent or more: edit1_candidates without its bounds in absolute counts."""
+    """Every word of the corpus, without accents, with the words one edit away that are ten times as frequent or more; a bound in counts would lose words as the corpus grows."""
     n = repair.word_counts(table(s, d, "corrected").select(tx.match_form(F.col("final_clean_text")).alias("t")), ["t"], tx.ASCII_WORD)
     return fuzzy.near_frequent(n, 10)
 
@@ -132,7 +126,7 @@ QUERIES: dict[str, Query] = {
     "sanitize_text": _scalar("raw_reviews", "raw_text", tx.sanitize),
     "clean_runs": _scalar("raw_reviews", "raw_text", tx.clean_runs),
     "strip_trailing_period": _scalar("raw_reviews", "raw_text", tx.strip_only_period),
-    "accent_strip": _scalar("raw_reviews", "clean_text", tx.match_form),
+    "accent_strip": _scalar("corrected", "final_clean_text", tx.match_form),
     "accent_strip_raw": _scalar("raw_reviews", "raw_text", tx.match_form),
     "remove_emoji": _scalar("raw_reviews", "raw_text", tx.remove_emoji),
     "capitalize_sentences": _scalar("raw_reviews", "raw_text", tx.capitalize_sentences),
@@ -165,7 +159,7 @@ QUERIES: dict[str, Query] = {
     "mojibake_map": _scalar("raw_reviews", "raw_text", encoding.sequences),
     "mojibake_fix": _scalar("raw_reviews", "raw_text", encoding.sanitize_gated),
     "mojibake_fix_all_pages": _scalar("raw_reviews", "raw_text", encoding.sanitize_all),
-    "mojibake_changed_cells": lambda s, d: encoding.changed_cells(table(s, d, "raw_reviews").select("raw_text", "clean_text", "marca"), encoding.sanitize_gated),
+    "mojibake_changed_cells": lambda s, d: encoding.changed_cells(table(s, d, "raw_reviews"), encoding.sanitize_gated),
     "word_counts": lambda s, d: repair.word_counts(table(s, d, "corrected"), _VOCAB),
     "vocabulary": lambda s, d: repair.vocabulary(table(s, d, "corrected"), _VOCAB),
     "bigram_counts": lambda s, d: repair.pair_counts(table(s, d, "corrected"), _VOCAB),
@@ -183,10 +177,9 @@ QUERIES: dict[str, Query] = {
     "contextual_counts": lambda s, d: pipeline.contextual_counts(table(s, d, "raw_reviews")),
     "contextual_clean": contextual_clean,
     "deep_audit": deep_audit,
-    "edit1_candidates": edit1_candidates,
     "edit1_by_ratio": edit1_by_ratio,
     "revision_report": lambda s, d: pipeline.revision_report(table(s, d, "corrected")),
-    "sanitize_table": lambda s, d: pipeline.sanitize_table(table(s, d, "raw_reviews").select("id_review", "raw_text", "clean_text", "marca")),
-    "llm_batches": lambda s, d: external.batches(table(s, d, "raw_reviews").dropDuplicates(["id_review"]), "raw_text", buckets=16).select("bucket", "batch", "lote"),
+    "sanitize_table": lambda s, d: pipeline.sanitize_table(table(s, d, "raw_reviews").drop("captured_at", "loaded_at")),
+    "llm_batches": lambda s, d: external.batches(table(s, d, "raw_reviews").groupBy("id_review").agg(F.max("raw_text").alias("raw_text")), "raw_text").select("bucket", "batch", "lote"),
     "change_log": lambda s, d: table(s, d, "corrected").filter(~F.col("final_clean_text").eqNullSafe(F.col("final_clean_text_original"))).select(F.col("id_review").alias("ID"), F.col("final_clean_text_original").alias("ANTES"), F.col("final_clean_text").alias("DESPUES")),
 }

@@ -81,7 +81,14 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def write_csv(df: DataFrame, path: str, bom: bool = True, mode: str = "errorifexists") -> None:
     """K1, K2: with header; the mark goes in front of each file's header."""
     out = df.toDF(*[("﻿" if bom and i == 0 else "") + c for i, c in enumerate(df.columns)])
-    out.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+    out.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A table that is there already is only replaced if that is asked for."""
+    if not overwrite and exists(df.sparkSession, path):
+        raise FileExistsError(path)
+    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
 def replace(df: DataFrame, path: str, backup: str = "timestamp") -> str | None:

@@ -205,5 +205,82 @@ def test_stream(spark, tmp_path):
 
 
 def test_shared_folder(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
     df = written(spark.range(10))
     assert df.count() == 10 and "tamiza-" in df.inputFiles()[0] and shared_dir(spark).split(":")[-1] in df.inputFiles()[0]
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
+def test_written_tables_go_with_the_driver(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.ui.enabled", "false").getOrCreate()
+from tamiza.functions.lineage import clear, written
+import glob
+assert written(s.range(5)).count() == 5 and len(glob.glob("{tmp_path}/shared/tamiza-*/*")) == 1
+clear(s)
+assert not glob.glob("{tmp_path}/shared/tamiza-*")
+print(written(s.range(3)).count(), len(glob.glob("{tmp_path}/shared/tamiza-*/*")))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=180)
+    assert out.stdout.split()[-2:] == ["3", "1"], out.stderr
+    assert not list((tmp_path / "shared").glob("tamiza-*"))
+
+
+def test_batches_resume_and_log(spark, tmp_path):
+    df = spark.createDataFrame([(f"S{i}", f"texto {i}") for i in range(7)] + [("S9", None)], "id_review string, raw_text string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(lote):
+        items = json.loads(lote)["lote"]
+        if len(items) > 1 and any(x["id"] == "S3" for x in items) or items[0]["id"] == "S3":
+            raise RuntimeError
+        asked.add(len(items))
+        return {x["id"]: "" if x["id"] == "S4" else x["text"].upper() for x in items}
+
+    at = str(tmp_path / "replies")
+    first = {r.id_review: r.clean_text for r in external.run_batches(df.filter("id_review < 'S3'"), "raw_text", model, at).collect()}
+    assert first == {f"S{i}": f"TEXTO {i}" for i in range(3)} and asked.value == 3
+    rows = {r.id_review: r.clean_text for r in external.run_batches(df, "raw_text", model, at).collect()}
+    assert rows["S3"] == external.BLOCKED and rows["S4"] == external.FAILED and rows["S6"] == "TEXTO 6" and rows["S9"] == external.SHORT
+    assert asked.value == 6  # S0 to S2 are not asked again
+    assert {tuple(r) for r in external.failures(spark.read.parquet(at)).collect()} == {("S3", "blocked"), ("S4", "empty")}
+    cs.write_table(df, str(tmp_path / "t"))
+    with pytest.raises(FileExistsError):
+        cs.write_table(df, str(tmp_path / "t"))
+    cs.write_table(df.limit(1), str(tmp_path / "t"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_running_counts_of_safe_corrections(spark):
+    from tamiza.operators import corrector
+
+    df = spark.createDataFrame([("si no s que",), ("s no s que",), ("S lo eso y s lo otro",), ("nada",), (None,)], "t string")
+    assert [tuple(r.k) for r in df.select(corrector.safe_corrections(F.col("t")).alias("k")).collect()] == [("si no se que", 1), ("sino s que", 1), ("Solo eso y solo otro", 2), ("nada", 0), (None, None)]
+
+
+def test_split_words(spark):
+    lexicon = spark.createDataFrame([("memoria", 5.0), ("pantalla", 5.0), ("esta", 6.0), ("está", 5.9), ("bien", 6.0), ("la", 7.0), ("compra", 5.0), ("muy", 6.0), ("cansado", 4.0), ("mas", 5.0), ("más", 5.9), ("canasta", 1.7)], "word string, zipf double")
+    texts = {1: "La mem ria", 2: "MEM RIA y Mem\tria", 3: "est a, EST E", 4: "est bien; Est muy", 5: "la m s nueva", 6: "can sta", 7: "pant lla mem ria.", 8: "sin nada", 9: "", 10: "mem  ria", 11: "mem-ria", 12: None}
+    want = {1: "La memoria", 2: "MEMORIA y Memoria", 3: "está, ESTÁ", 4: "está bien; Está muy", 5: "la más nueva", 6: "canasta", 7: "pantalla memoria.", 8: "sin nada", 9: "", 10: "memoria", 11: "mem-ria", 12: None}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "i int, t string, p string")
+    got = fuzzy.merge_split_words(df, "t", lexicon)
+    assert got.columns == ["i", "t", "p"] and {r.i: r.t for r in got.collect()} == want
+    assert fuzzy.merge_split_words(df.limit(0), "t", lexicon).count() == 0
+
+
+def test_contextual_clean(spark):
+    lexicon = spark.createDataFrame([("pantalla", 5.0), ("buena", 6.0), ("que", 7.0), ("la", 7.0), ("está", 6.0), ("por", 7.0)], "word string, zipf double")
+    df = spark.createDataFrame([(1, "La pantlla  est a buenaa , q", "x"), (2, None, "y"), (3, " ", "z")], "i int, raw_text string, final_clean_text string")
+    assert {r.i: r.final_clean_text for r in pipeline.contextual_clean(df, lexicon).collect()} == {1: "La pantalla está buena, que", 2: "y", 3: "z"}
