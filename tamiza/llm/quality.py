@@ -1,103 +1,218 @@
 """Per-document text quality statistics, and how likely a text is natural prose.
 
-The statistics are Spark expressions, so texts stay in the JVM. Gradient-boosted
-trees are fitted on them: labelling rules vote on a hash-ordered sample of at most
-`most` documents, texts on which the rules disagree or are silent are left out,
-and the trees' scores are calibrated (Platt) on a holdout checked by hand. The
+The statistics of a batch of texts are taken together, over one array of their
+code points: every count is a sum over positions, lines or words, so no text is
+walked through by a pattern. Gradient-boosted trees are fitted on them: labelling
+rules vote on a sample of at most `most` documents, those of smallest hash; texts
+on which the rules disagree or are silent are left out, and the trees' scores are
+calibrated (Platt) on a holdout checked by hand, which the trees never see. The
 trees read the statistics only, never the rules.
 
-Defined cases: NULL, empty and blank texts have statistics of 0 (NULL has NULL
-statistics) and no probability; repeated texts score alike; very long texts are
-whole; an empty table, or one whose sample holds only one kind, is scored by the
-holdout alone. Input columns stay, whatever their names.
+Defined cases: NULL, empty and blank texts have statistics of 0 and no
+probability; repeated texts score alike; very long texts are whole; where the
+sample does not hold both kinds (an empty table, say) there is no model, and no
+text has a probability. Input columns stay, whatever their names; those named like
+a result are replaced.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiza.functions.text import let
-
 # Function words of Spanish, English and Portuguese.
 COMMON = (
     "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante ni contra otros ese eso mi tan "
     "the of and to in is it for on with was that this i my at by an be as when "
     "os do da em um uma não na se mais dos mas ao ou pelo quando foi"
 ).split()
-_WORD = r"[\p{L}\p{N}]+"
-
-
-#: Raw counts, each one pass over the text.
-COUNTS = {
-    "lines": r"(?m)^[^\n\S]*+\S",
-    "symbols": r"[^\p{L}\p{N}\s.,;:!?¡¿\"'()…“”-]",
-    "digits": r"\p{N}",
-    "upper": r"\p{Lu}",
-    "ended": r"(?m)[.!?…][\"”»)]*+[^\n\S]*+(?:[\x{2600}-\x{27BF}\x{FE0F}\x{1F000}-\x{1FAFF}]++[^\n\S]*+)?$",
-    "marked": r"(?m)^[^\n\S]*+(?:[-*•·>+]|\d{1,4}[.)])\s",
-    "labels": r"(?m)^[^:\n]{1,40}+:\s",
-    "ends": r"[\p{L}\p{N})\"”][.!?…]++(?:\s|$)",
-    "separators": r"[|;\t]|\s[>·]\s|  ++|[{}\[\]]|\":",
-    "hard": r"(?iu)[bcdfghjklmnñpqrstvwxyz]{5,}+",
-    "mixed": r"\p{L}\p{N}|\p{N}\p{L}|[#@]\p{L}|://|\p{Ll}\p{Lu}",
-    "short_lines": r"(?m)^[^\n\S]*+\S++(?: \S++)?+[^\n\S]*+$",
-    "commas": ",",
-}
-
-
-def _raw(x: Column) -> Column:
-    """All counts of a text in one struct, bound as a whole: the optimizer would otherwise count again for each statistic that uses a count."""
-    words_of = lambda t: F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0))
-
-    def of_words(t: Column) -> Column:
-        pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        common = F.size(F.filter(t, lambda w: w.isin(*COMMON)))
-        return F.struct(F.size(t).alias("n"), common.alias("common"), F.size(F.array_distinct(t)).alias("distinct"), F.size(F.array_distinct(pairs)).alias("pairs"))
-
-    return let(x, lambda t: F.struct(F.length(t).alias("chars"), (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}++", ""))).alias("letters"), let(words_of(t), of_words).alias("w"), *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in COUNTS.items()]))
-
-
-def statistics(raw: Column) -> dict[str, Column]:
-    """Name to expression over the counts; all are doubles, 0 for texts without characters."""
-
-    def get(name: str) -> Column:
-        name = "w.n" if name == "words" else name
-        return (raw["w"][name[2:]] if name.startswith("w.") else raw[name]).cast("double")
-
-    def per(a: str, b: str | Column) -> Column:
-        return F.coalesce(F.try_divide(get(a), get(b) if isinstance(b, str) else b), F.lit(0.0))
-
-    return {
-        "n_chars": raw["chars"].cast("double"),
-        "n_words": get("words"),
-        "n_lines": raw["lines"].cast("double"),
-        "mean_word_length": per("letters", "w.n"),
-        "words_per_line": per("words", "lines"),
-        "symbol_ratio": per("symbols", "chars"),
-        "digit_ratio": per("digits", "chars"),
-        "upper_ratio": per("upper", "letters"),
-        "ended_lines": per("ended", "lines"),
-        "marked_lines": per("marked", "lines"),
-        "label_lines": per("labels", "lines"),
-        "sentence_ends": per("ends", "words"),
-        "separators": per("separators", "words"),
-        "common_words": per("w.common", "w.n"),
-        "distinct_words": per("w.distinct", "w.n"),
-        "distinct_pairs": per("w.pairs", F.greatest(get("w.n") - 1, F.lit(1.0))),
-        # As a power of the length, so that long texts compare with short ones.
-        "word_variety": F.coalesce(F.try_divide(F.log1p(get("w.distinct")), F.log1p(get("w.n"))), F.lit(0.0)),
-        "pair_variety": F.coalesce(F.try_divide(F.log1p(get("w.pairs")), F.log1p(F.greatest(get("w.n") - 1, F.lit(1.0)))), F.lit(0.0)),
-        "hard_words": per("hard", "words"),
-        "mixed_tokens": per("mixed", "words"),
-        "one_word_lines": per("short_lines", "lines"),
-        "commas": per("commas", "words"),
-    }
+# Classes of characters, one bit each.
+LETTER, NUMBER, UPPER, LOWER, BLANK, SYMBOL, STOP, TAIL, CONSONANT, MARKER, BEFORE_STOP, SEPARATOR = (np.uint16(1 << k) for k in range(12))
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class bits and small letter of every code point."""
+    bits, small = np.zeros(sys.maxunicode + 1, dtype=np.uint16), np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    for o in range(sys.maxunicode + 1):
+        c = chr(o)
+        kind = unicodedata.category(c)
+        if kind[0] == "L":
+            bits[o] |= LETTER | BEFORE_STOP
+            low = c.lower()
+            if len(low) == 1:
+                small[o] = ord(low)
+        elif kind[0] == "N":
+            bits[o] |= NUMBER | BEFORE_STOP
+        bits[o] |= {"Lu": UPPER, "Ll": LOWER}.get(kind, np.uint16(0))
+    own = lambda chars: [ord(c) for c in chars]
+    bits[own(" \t\n\x0b\f\r")] |= BLANK | TAIL
+    plain = np.zeros(len(bits), dtype=bool)
+    plain[own(" \t\n\x0b\f\r.,;:!?¡¿\"'()…“”-")] = True
+    bits[((bits & (LETTER | NUMBER)) == 0) & ~plain] |= SYMBOL
+    bits[own(".!?…")] |= STOP
+    bits[own("\"”»)")] |= TAIL
+    for lo, hi in ((0x2600, 0x27BF), (0xFE0F, 0xFE0F), (0x1F000, 0x1FAFF)):
+        bits[lo : hi + 1] |= TAIL
+    bits[own("bcdfghjklmnñpqrstvwxyzBCDFGHJKLMNÑPQRSTVWXYZ")] |= CONSONANT
+    bits[own("-*•·>+")] |= MARKER
+    bits[own(")\"”")] |= BEFORE_STOP
+    bits[own("|;\t{}[]")] |= SEPARATOR
+    return bits, small
+
+
+_POWERS = np.cumprod(np.full(4096, 0x100000001B3, dtype=np.uint64), dtype=np.uint64)
+
+
+def _hashes(small: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each word. at: positions of word characters; starts: where words begin among them."""
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    h = np.add.reduceat((small[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place % len(_POWERS)], starts)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+@cache
+def _common() -> np.ndarray:
+    text = " ".join(COMMON)
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    at = np.flatnonzero(codes != 32)
+    return np.unique(_hashes(codes, at, np.flatnonzero(np.diff(at, prepend=-2) > 1)))
+
+
+def _following(mask: np.ndarray) -> np.ndarray:
+    """For each position the first one from there on where the mask does not hold."""
+    at = np.where(mask, np.int32(len(mask)), np.arange(len(mask), dtype=np.int32))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def counts(texts: list[str]) -> dict[str, np.ndarray]:
+    """Raw counts of each text."""
+    bits_of, small_of = _tables()
+    n = len(texts)
+    codes = np.frombuffer(("\n".join(texts) + "\n\n\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lens = np.fromiter(map(len, texts), dtype=np.int64, count=n)
+    bits = bits_of[codes]
+    is_ = lambda bit: (bits & bit) != 0
+    doc = np.append(np.repeat(np.arange(n, dtype=np.int32), lens + 1), np.full(2, n, dtype=np.int32))  # a text's end is a line break; two more stand behind the last
+    idx = np.arange(len(codes), dtype=np.int32)
+    per_doc = lambda mask: np.bincount(doc[mask], minlength=n + 1)[:n]
+    before = lambda mask: np.concatenate([[False], mask[:-1]])
+    after = lambda mask: np.concatenate([mask[1:], [False]])
+    char = lambda c: codes == ord(c)
+
+    letter, number, blank, stop = is_(LETTER), is_(NUMBER), is_(BLANK), is_(STOP)
+    out = {"chars": lens, "letters": per_doc(letter), "digits": per_doc(number), "upper": per_doc(is_(UPPER)), "symbols": per_doc(is_(SYMBOL)), "commas": per_doc(char(","))}
+
+    # Lines: each ends with its line break.
+    line = np.concatenate([[0], np.flatnonzero(char("\n"))[:-1] + 1])
+    line_doc = doc[line]
+    per_line = lambda mask: np.bincount(line_doc[mask], minlength=n + 1)[:n]
+    none = np.int32(len(codes) - 1)
+    first = lambda mask: np.minimum.reduceat(np.where(mask, idx, none), line)
+    last = lambda mask: np.maximum.reduceat(np.where(mask, idx, np.int32(-1)), line)
+    begin, end = first(~blank), last(~blank)
+    filled = end >= 0
+    solid = last(~is_(TAIL))
+    digit = (codes >= 48) & (codes <= 57)
+    beyond = _following(digit)[begin]
+    numbered = (beyond > begin) & (beyond - begin <= 4) & np.isin(codes[beyond], [46, 41]) & blank[np.minimum(beyond + 1, none)]
+    marked = (is_(MARKER)[begin] & blank[np.minimum(begin + 1, none)]) | numbered
+    colon = first(char(":"))
+    labelled = (colon < none) & (colon - line >= 1) & (colon - line <= 40) & blank[np.minimum(colon + 1, none)]
+    word_begins = ~blank & before(blank)
+    word_begins[0] = ~blank[0]
+    tokens, dark = np.add.reduceat(word_begins.astype(np.int64), line), np.add.reduceat((~blank).astype(np.int64), line)
+    short = (tokens == 1) | (tokens == 2) & (end - begin + 1 - dark == 1)
+    out |= {"lines": per_line(filled), "ended": per_line((solid >= 0) & stop[solid]), "marked": per_line(filled & marked), "labels": per_line(labelled), "short_lines": per_line(short)}
+
+    run_end = _following(stop)
+    out["ends"] = per_doc(stop & before(is_(BEFORE_STOP)) & blank[np.minimum(run_end, none)])
+    space = char(" ")
+    arrows = (char(">") | char("·")) & before(blank) & after(blank)
+    out["separators"] = per_doc(is_(SEPARATOR)) + per_doc(arrows) + per_doc(space & ~before(space) & after(space)) + per_doc(char('"') & after(char(":")))
+    consonant = is_(CONSONANT)
+    out["hard"] = per_doc(consonant & ~before(consonant) & (_following(consonant) - idx >= 5))
+    pair = (letter & after(number)) | (number & after(letter)) | ((char("#") | char("@")) & after(letter)) | (is_(LOWER) & after(is_(UPPER)))
+    # Neighbouring pairs share a character: of a run of them every other one counts.
+    run = pair & ~before(pair)
+    even = (idx - np.maximum.accumulate(np.where(run, idx, np.int32(0)))) % 2 == 0
+    out["mixed"] = per_doc(pair & even) + per_doc(char(":") & after(char("/")) & after(after(char("/"))))
+
+    word = letter | number
+    at = np.flatnonzero(word)
+    word_starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    if not len(at):
+        return out | {k: np.zeros(n, dtype=np.int64) for k in ("words", "common", "distinct", "pairs")}
+    h, of = _hashes(small_of[codes], at, word_starts), doc[at[word_starts]]
+
+    def distinct(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+        key = h ^ (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return np.bincount(of[np.unique(key, return_index=True)[1]], minlength=n)[:n]
+
+    same = of[1:] == of[:-1]
+    two = (h[:-1] * np.uint64(0x9DDFEA08EB382D69) + (h[1:] ^ (h[1:] >> np.uint64(17))))[same]
+    return out | {"words": np.bincount(of, minlength=n), "common": np.bincount(of[np.isin(h, _common())], minlength=n), "distinct": distinct(h, of), "pairs": distinct(two, of[1:][same])}
+
+
+def statistics(raw: dict[str, np.ndarray]) -> pd.DataFrame:
+    """The statistics, all doubles, 0 for texts without characters."""
+    get = lambda x: raw[x].astype(float) if isinstance(x, str) else x
+
+    def per(a, b) -> np.ndarray:
+        x, y = get(a), get(b)
+        return np.divide(x, y, out=np.zeros(len(x)), where=y != 0)
+
+    between = np.maximum(get("words") - 1, 1.0)
+    return pd.DataFrame(
+        {
+            "n_chars": get("chars"),
+            "n_words": get("words"),
+            "n_lines": get("lines"),
+            "mean_word_length": per("letters", "words"),
+            "words_per_line": per("words", "lines"),
+            "symbol_ratio": per("symbols", "chars"),
+            "digit_ratio": per("digits", "chars"),
+            "upper_ratio": per("upper", "letters"),
+            "ended_lines": per("ended", "lines"),
+            "marked_lines": per("marked", "lines"),
+            "label_lines": per("labels", "lines"),
+            "sentence_ends": per("ends", "words"),
+            "separators": per("separators", "words"),
+            "common_words": per("common", "words"),
+            "distinct_words": per("distinct", "words"),
+            "distinct_pairs": per("pairs", between),
+            # As a power of the length, so that long texts compare with short ones.
+            "word_variety": per(np.log1p(get("distinct")), np.log1p(get("words"))),
+            "pair_variety": per(np.log1p(get("pairs")), np.log1p(between)),
+            "hard_words": per("hard", "words"),
+            "mixed_tokens": per("mixed", "words"),
+            "one_word_lines": per("short_lines", "lines"),
+            "commas": per("commas", "words"),
+        }
+    )
+
+
+def _batches(texts: list[str | None], most: int = 400_000) -> Iterator[list[str]]:
+    """Texts in batches of about `most` characters."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t or "")
+        size += len(own[-1])
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 NAMES = tuple(
@@ -107,10 +222,27 @@ NAMES = tuple(
 READ = tuple(n for n in NAMES if n not in ("n_chars", "n_words", "n_lines", "distinct_words", "distinct_pairs"))
 
 
+def _measured(df: DataFrame, text: str, trees: Trees | None = None) -> DataFrame:
+    """df with a struct `__k` of the statistics, and of the probability of prose by the trees, if any are given."""
+    names = [*NAMES, "prose"] if trees else list(NAMES)
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            got = [statistics(counts(own)) for own in _batches(s.tolist())]
+            out = pd.concat(got, ignore_index=True) if got else pd.DataFrame(columns=list(NAMES), dtype=float)
+            if trees:
+                blank = np.array([t is None or not t.strip() for t in s], dtype=bool)
+                out["prose"] = np.where(blank, np.nan, trees.prose(out[list(READ)].to_numpy(dtype=float)))
+            yield out
+
+    # Not deterministic to the optimizer: a filter on a result must not run it a second time.
+    return df.select("*", run.asNondeterministic()(df[text]).alias("__k"))
+
+
 def with_statistics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    rows = df.select("*", _raw(df[text]).alias("__raw"))
-    stats = statistics(rows["__raw"])
-    return rows.select(*[rows[c] for c in df.columns if c not in {prefix + n for n in NAMES}], *[stats[n].alias(prefix + n) for n in NAMES])
+    rows = _measured(df, text)
+    return rows.select(*[rows[c] for c in df.columns if c not in {prefix + n for n in NAMES}], *[F.col(f"__k.{n}").alias(prefix + n) for n in NAMES])
 
 
 def weak_label(s: pd.DataFrame) -> np.ndarray:
@@ -154,6 +286,9 @@ class Trees:
         return out
 
     def prose(self, x: np.ndarray) -> np.ndarray:
+        """NaN where there is no model."""
+        if not self.value:
+            return np.full(len(x), np.nan)
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
 
 
@@ -221,37 +356,28 @@ def holdout() -> list[tuple[str, int]]:
     return quality_holdout.TEXTS
 
 
-def fit(df: DataFrame, text: str, id_col: str, most: int = 20_000) -> Trees:
-    """Trees fitted on at most `most` weakly labelled documents."""
-    spark: SparkSession = df.sparkSession
-    sample = df.filter(F.col(text).rlike(r"[^\s]")).select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    # Sampled by hash before statistics are taken, so only the sample's texts move.
+def fit(df: DataFrame, text: str, id_col: str, most: int = 20_000, hand: list[tuple[str, int]] | None = None) -> Trees:
+    """Trees fitted on at most `most` weakly labelled documents and calibrated on texts labelled by hand, `hand` or the holdout; no trees where the sample does not hold both kinds."""
+    key = F.xxhash64(F.lit(5), F.col(id_col)).alias("__key")
+    sample = df.filter(F.col(text).rlike(r"[^\s]")).select(key, F.col(text).alias("__text"))
+    # Cut by hash before statistics are taken, so only about the sample's texts are measured; the smallest hashes of them count.
     n = max(df.count(), 1)
     share = min(1.0, 1.3 * most / n)
-    sample = sample.filter(F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    s = with_statistics(sample, "__text").select(*NAMES).limit(most).toPandas()
+    sample = sample.filter(F.pmod("__key", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    s = with_statistics(sample, "__text").select("__key", *NAMES).orderBy(F.pmod("__key", F.lit(1 << 20)), "__key", *NAMES).limit(most).toPandas()
     y = weak_label(s)
     known = y >= 0
     x, y = s[list(READ)].to_numpy(dtype=float)[known], y[known]
-    hand = holdout()
-    h = with_statistics(spark.createDataFrame(hand, "text string, y int"), "text").select("y", *READ).toPandas()
-    hx, hy = h[list(READ)].to_numpy(dtype=float), h["y"].to_numpy()
-    if len(y) < 50 or y.min() == y.max():
-        x, y = np.concatenate([x, hx]), np.concatenate([y, hy])
+    if not len(y) or y.min() == y.max():
+        return Trees()
     t = boost(x, y)
-    calibrate(t, hx, hy)
+    texts, labels = zip(*(hand or holdout()))
+    calibrate(t, statistics(counts(list(texts)))[list(READ)].to_numpy(dtype=float), np.array(labels))
     return t
 
 
 def score(df: DataFrame, text: str, trees: Trees, name: str = "prose") -> DataFrame:
     """df with its statistics and the probability of prose; NULL for texts without characters other than white space."""
-
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield pd.Series(trees.prose(p[list(READ)].fillna(0.0).to_numpy(dtype=float)))
-
-    run = run.asNondeterministic()  # else a filter on the probability would run the trees, and their statistics, a second time
-    rows = with_statistics(df.select(*[df[c] for c in df.columns if c != name]), text)
-    some = F.coalesce(rows[text].rlike(r"[^\s\p{Z}]"), F.lit(False))
-    return rows.select("*", F.when(some, run(F.struct(*[rows[n] for n in READ]))).alias(name))
+    rows = _measured(df, text, trees)
+    keep = [rows[c] for c in df.columns if c != name and c not in NAMES]
+    return rows.select(*keep, *[F.col(f"__k.{n}").alias(n) for n in NAMES], F.nanvl(F.col("__k.prose"), F.lit(None)).alias(name))

@@ -134,15 +134,52 @@ def test_evolve_keeps_every_item():
 
 
 def test_quality(spark):
-    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(quality_holdout.TEXTS)] + [(900, None, 2), (901, " ", 2), (902, "", 2)], "doc_id int, text string, prose int")
-    trees = quality.fit(df, "text", "doc_id")
+    """Trees from weak labels of documents, calibrated on half of the hand-checked texts, judge the other half, which they never saw."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    trees = quality.fit(docs, "text", "doc_id", hand=quality_holdout.TEXTS[::2])
+    unseen = quality_holdout.TEXTS[1::2]
+    df = spark.createDataFrame([(i, t, y, "x") for i, (t, y) in enumerate(unseen)] + [(900, None, 2, "x"), (901, " ", 2, "x"), (902, "", 2, "x"), (903, unseen[0][0], 2, "x")], "doc_id int, text string, prose int, commas string")
     got = {r.doc_id: r.prose for r in quality.score(df, "text", trees).collect()}
-    assert got[900] is None and got[901] is None and got[902] is None
-    hits = [(got[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(quality_holdout.TEXTS)]
-    assert sum(hits) >= 0.9 * len(hits)
+    assert got[900] is None and got[901] is None and got[902] is None and got[903] == got[0]
+    hits = sum((got[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(unseen))
+    weak = quality.weak_label(quality.statistics(quality.counts([t for t, _ in unseen])))
+    alone = sum(w == y for w, (_, y) in zip(weak, unseen))
+    assert hits >= 0.9 * len(unseen) and hits >= alone, (hits, alone, len(unseen))
     assert quality.score(df.limit(0), "text", trees).count() == 0
 
 
+def test_quality_without_both_kinds(spark):
+    df = spark.createDataFrame([(1, "Me gusta mucho la pantalla y el teclado de esta laptop."), (2, None)], "doc_id int, text string")
+    for rows in (df, df.limit(0)):
+        trees = quality.fit(rows, "text", "doc_id")
+        assert not trees.value and {r.prose for r in quality.score(df, "text", trees).collect()} == {None}
+
+
+def test_quality_sample_does_not_hang_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = (quality.fit(d, "text", "doc_id", most=60) for d in (docs.repartition(7), docs.coalesce(1)))
+    assert all((x == y).all() for x, y in zip(a.value, b.value)) and len(a.value) == len(b.value)
+
+
+def test_counts_against_patterns():
+    """Every count, said as a pattern over one text."""
+    import regex
+
+    ws = r"[ \t\n\x0b\f\r]"
+    pat = {
+        "letters": r"\p{L}", "digits": r"\p{N}", "upper": r"\p{Lu}", "commas": ",", "symbols": r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:!?¡¿\"'()…“”-]", "lines": r"(?m)^[ \t\x0b\f\r]*+[^ \t\n\x0b\f\r]",
+        "marked": rf"(?m)^[ \t\x0b\f\r]*+(?:[-*•·>+]|[0-9]{{1,4}}[.)])(?:{ws}|\Z)", "labels": rf"(?m)^[^:\n]{{1,40}}+:(?:{ws}|\Z)", "ends": rf"[\p{{L}}\p{{N}})\"”][.!?…]++(?:{ws}|\Z)", "hard": r"(?i)[bcdfghjklmnñpqrstvwxyz]{5,}+",
+        "mixed": r"\p{L}\p{N}|\p{N}\p{L}|[#@]\p{L}|://|\p{Ll}\p{Lu}", "short_lines": r"(?m)^[ \t\x0b\f\r]*+[^\s]++(?: [^\s]++)?+[ \t\x0b\f\r]*+$", "ended": r"(?m)[.!?…][\"”»)]*+[ \t\x0b\f\r]*+(?:[\u2600-\u27BF\uFE0F\U0001F000-\U0001FAFF]++[ \t\x0b\f\r]*+)?$",
+    }
+    texts = [t for t, _ in quality_holdout.TEXTS] + ["", " ", "\n\n", "a", ".", "x" * 9000, "ñ: sí.\n\n- a1b2c3 http://x.y #tag @yo camelCase\n12) uno\n  3. dos tres  \n", "Bien. 👍👍 \nMal \"así.\"\nfin...", "palabra " * 3, "𝟙𝟚 ǅ ß"]
+    got = quality.counts(texts)
+    for name, p in pat.items():
+        assert got[name].tolist() == [len(regex.findall(p, t)) for t in texts], name
+    for i, t in enumerate(texts):
+        w = regex.findall(r"[\p{L}\p{N}]+", t.lower())
+        assert (got["words"][i], got["distinct"][i], got["pairs"][i], got["common"][i]) == (len(w), len(set(w)), len(set(zip(w, w[1:]))), sum(x in quality.COMMON for x in w)), t
+
+
 def test_statistics_by_hand(spark):
     df = spark.createDataFrame([("- Uno: dos 3\n- cuatro, la de la.\n", 7.0)], "text string, n_words double")
     r = quality.with_statistics(df, "text").collect()[0]
