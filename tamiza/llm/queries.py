@@ -123,8 +123,8 @@ def _p5(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
     """(eligible ids, needs) of each table with plans."""
     targets, out = table(spark, sf_dir, "sample_targets"), []
     for name, (field, category, valid) in _PLANS.items():
-        rows = sampling.eligible(table(spark, sf_dir, name), "id_review", category(), F.col("source"), valid())
-        out.append((rows, sampling.needs(rows, targets.filter((F.col("tbl") == name) & (F.col("field") == field)))))
+        rows = written(sampling.eligible(table(spark, sf_dir, name), "id_review", category(), F.col("source"), valid()))
+        out.append((sampling.columned(rows), sampling.needs(rows, targets.filter((F.col("tbl") == name) & (F.col("field") == field)))))
     return out
 
 
@@ -135,7 +135,9 @@ def p5_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_needs(spark, sf_dir).filter("not met").select("plan", "category").distinct()
+    """Categories of which the drawn sample holds fewer than they need."""
+    out = [sampling.shortfalls(sampling.draw(rows, sampling.quotas(rows, need)), need) for rows, need in _p5(spark, sf_dir)]
+    return out[0].unionByName(out[1]).select("plan", "category").distinct()
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +146,11 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p5_sample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn ids and distinct ones per plan and category."""
+    return p5_sample(spark, sf_dir).groupBy("plan", "category").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).collect()[0][0]
     return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", int(capacity or 2048))
@@ -158,6 +165,18 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p8(spark, sf_dir).groupBy("container").agg(F.count("*").alias("n_items"), F.sum("size").alias("tokens"))
 
 
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(what, n): all documents with text are packed, each whole, only documents above the capacity in pieces, no container above it."""
+    packed = written(_p8(spark, sf_dir))
+    capacity = F.lit(table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).collect()[0][0])  # one number
+    count = lambda rows, what, when: rows.agg(F.count_if(when).alias("n")).select(F.lit(what).alias("what"), "n")
+    load = packed.groupBy("container").agg(F.sum("size").alias("load"))
+    doc = packed.groupBy("uid").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"), F.sum("size").alias("size"), F.max("n_tokens").alias("tokens"))
+    out = count(doc, "documents", F.lit(True)).unionByName(count(doc, "not whole", (F.col("size") != F.col("tokens")) | (F.col("n") != F.col("pieces"))))
+    out = out.unionByName(count(doc, "split below capacity", (F.col("n") > 1) & (F.col("tokens") <= capacity)))
+    return out.unionByName(count(load, "containers above capacity", F.col("load") > capacity))
+
+
 def _p9(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", n_tokens(F.col("text")).alias("size"))
     docs = written(docs)  # tokenized once, read for the sums and for the mixture
@@ -205,8 +224,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_needs": p5_needs,
     "p5_sample": p5_sample,
+    "p5_sample_totals": p5_sample_totals,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p8_coverage": p8_coverage,
     "p9_found": p9_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
@@ -246,6 +267,8 @@ d AS (
 
 ORACLES: dict[str, str] = {
     "p5_found": _P5 + "SELECT DISTINCT plan, category FROM d WHERE available < need",
+    "p5_sample_totals": _P5 + "SELECT plan, lower(trim(category)) AS category, least(need, available) AS n, least(need, available) AS n_ids FROM d WHERE least(need, available) > 0",
+    "p8_coverage": r"SELECT 'documents' AS what, count(*) FILTER (regexp_matches(text, '[^\s]')) AS n FROM documents UNION ALL SELECT unnest(['not whole', 'split below capacity', 'containers above capacity']), 0",
     "p5_needs": _P5 + "SELECT plan, category, need, available, available >= need AS met FROM d",
     "p7_found": _P7 + "SELECT tbl, id_keep, id AS id_dup FROM m",
     "p7_copies": _P7 + "SELECT tbl, id_keep, count(*) + 1 AS n_copies FROM m GROUP BY ALL",

@@ -215,3 +215,14 @@ def test_both_kinds_of_vocabulary_agree():
 
     texts = ["", " ", "hola, ¿qué tal? <|endoftext|>", "x" + " " * 30000 + "y", " " * 20001, " \n" * 20000 + "hola mundo", "a" * 30000, "hola" + " " * 9999 + " z " + "\n" * 12000 + " fin " + " " * 15000]
     assert tokens.counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(texts) == tokens.counter("/opt/tokenizers/byte_bpe_50k.json")(texts)
+
+
+def test_columns_are_bounded(spark):
+    """A second attribute of many values: category totals stay exact."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("category"), F.col("id").cast("string").alias("second"))
+    few = sampling.columned(rows, 50)
+    assert few.select("second").distinct().count() == 50 and sampling.columned(rows, 4000).select("second").distinct().count() == 4000
+    need = spark.createDataFrame([("p", "A ", 300, 1000, True), ("p", "b", 4000, 3000, False), ("p", "c", 1, 0, False)], "plan string, category string, need long, available long, met boolean")
+    drawn = sampling.draw(few, sampling.quotas(few, need))
+    assert {(r.category, r["count"]) for r in drawn.groupBy("category").count().collect()} == {("a", 300), ("b", 3000)}
+    assert {(r.category, r.drawn) for r in sampling.shortfalls(drawn, need).collect()} == {("b", 3000), ("c", 0)}
