@@ -93,22 +93,23 @@ _GUARD = ""
 
 
 def chat(x: str) -> str:
-    """D12. `x` behind `muy` is put out of reach and back."""
+    """D12. `x` behind `muy` is put out of reach and back. Words are told by what is around them, as a boundary between ASCII signs would part accented letters; each rule runs twice, since neighbours share what is between them."""
+    word = lambda p, to, before="": (rf"(^|{_NOT_WORD}){before}{p}($|{_NOT_WORD})", rf"\1{to}\2" if not before else rf"\1\2{to}\3")
     for short, to in ru.CHAT_EXPANSIONS:
-        guard = [(rf"({_B}[mM][uU][yY]{WS}{{1,8}})x{_B}", r"\1" + _GUARD), (rf"({_B}[mM][uU][yY]{WS}{{1,8}})X{_B}", r"\1" + _GUARD + _GUARD)] if short == "x" else []
-        cap = to[:1].upper() + to[1:]
-        rules = [*guard]
+        cap, muy = to[:1].upper() + to[1:], rf"([mM][uU][yY]{WS}{{1,8}})"
+        rules = [word("x", _GUARD, muy), word("X", _GUARD + _GUARD, muy)] if short == "x" else []
         if len(short) <= 2:
-            rules += [(rf"^{short.upper()}{_B}", cap), (rf"([.!?]{WS}{{0,8}}){short.upper()}{_B}", r"\1" + cap), (_B + short.upper() + _B, to)]
+            rules += [(rf"^{short.upper()}($|{_NOT_WORD})", cap + r"\1"), (rf"([.!?]{WS}{{0,8}}){short.upper()}($|{_NOT_WORD})", r"\1" + cap + r"\2"), word(short.upper(), to)]
         else:
-            rules += [(_B + short.upper() + _B, to.upper()), (_B + short[0].upper() + "".join(f"[{c}{c.upper()}]" for c in short[1:]) + _B, cap)]
+            rules += [word(short.upper(), to.upper()), word(short[0].upper() + "".join(f"[{c}{c.upper()}]" for c in short[1:]), cap)]
         if len(short) == 2:
-            rules += [(_B + short[0].upper() + short[1] + _B, cap)]
-        rules += [(rf"(?i){_B}{short}{_B}", to)]
-        if guard:
-            rules += [(_GUARD + _GUARD, "X"), (_GUARD, "x")]
+            rules += [word(short[0].upper() + short[1], cap)]
+        rules += [word(f"(?i:{short})", to)]
         for p, r in rules:
-            x = f"regexp_replace({x}, {q(p)}, {q(r)}, 'g')"
+            for _ in range(2):
+                x = f"regexp_replace({x}, {q(p)}, {q(r)}, 'g')"
+        if short == "x":
+            x = f"replace(replace({x}, '{_GUARD}{_GUARD}', 'X'), '{_GUARD}', 'x')"
     return x
 
 
