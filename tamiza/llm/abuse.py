@@ -42,6 +42,8 @@ KINDS = ("abusive", "hateful", "sexual")
 WINDOW, STEP = 72, 24
 _SIGNS = str.maketrans({"4": "a", "3": "e", "1": "i", "0": "o", "5": "s", "7": "t", "@": "a", "$": "s"})
 _MIXED = re.compile(r"(?=\S*[a-z])(?=\S*[0-9@$])[a-z0-9@$*]+")
+#: What stands between blanks and holds a digit or sign; only there _MIXED can match.
+_CHUNK = re.compile(r"(?<!\S)(?=\S*[0-9@$])\S+")
 _APART = re.compile(r"(?<![a-z0-9@$])(?:[a-z0-9@$*](?:[.\-_·*]|\s)\s?){3,}[a-z0-9@$*](?![a-z0-9@$])")
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 _BETWEEN = re.compile(r"[.\-_·\s]")
@@ -64,7 +66,7 @@ def plain(text: str) -> str:
         text = _BEYOND_ASCII.sub(lambda m: _folded(m[0]), text)
     text = text.lower()
     text = _APART.sub(lambda m: _BETWEEN.sub("", m[0]), text)
-    text = _MIXED.sub(lambda m: m[0].translate(_SIGNS), text)
+    text = _CHUNK.sub(lambda c: _MIXED.sub(lambda m: m[0].translate(_SIGNS), c[0]), text)
     text = _DIGITS.sub("0", text)
     return _DRAWN.sub(r"\1", text)
 
