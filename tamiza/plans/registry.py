@@ -10,7 +10,7 @@ from tamiza.plans import fixture_queries, problem_queries, report_queries, revie
 RULES = (
     "correct_corpus correction_report safe_corrections letter_repair letter_repair_mined encoding_words short_expansions chat_expansions confusables question_mark_clean ambiguous_flags ambiguous_resolution "
     "sarcasm_score sarcasm_clean sarcasm_candidates_ranked mojibake_map mojibake_fix mojibake_fix_all_pages no_vowel_tokens no_vowel_tokens_detailed regex_pair_counts mined_letter_rules mined_split_rules mined_repair "
-    "missing_letter_pairs revision_report contextual_counts annotated_reviews capitalize_sentences clean_runs incongruence_flags"
+    "missing_letter_pairs revision_report contextual_counts annotated_reviews deep_audit capitalize_sentences clean_runs incongruence_flags"
 ).split()
 
 QUERIES = {**review_queries.QUERIES, **report_queries.QUERIES, **problem_queries.QUERIES, **fixture_queries.QUERIES}

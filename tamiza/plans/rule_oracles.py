@@ -241,7 +241,27 @@ d AS (SELECT id_review, CASE WHEN t IS NULL THEN NULL ELSE list_reduce(list_prep
   lambda a, b: CASE WHEN b.i < a.s THEN a ELSE {{'o': a.o || b.o, 's': b.i + b.s, 'i': 0::bigint}} END).o END AS u FROM c)
 SELECT id_review, {strip(collapse("CASE WHEN ends_with(u, '.') AND length(u) - length(replace(u, '.', '')) = 1 THEN u[:-2] ELSE u END"))} AS final_clean_text FROM d"""
 
+# ---- D19: unknown words take the nearest known one -----------------------------
+_ES = "[a-záéíóúüñ]+"
+# Distances are taken over bytes, so every letter gets to be one.
+_BYTES = lambda x: f"translate({x}, 'áéíóúüñ', '1234567')"
+_EXPANDED = "base"
+for _p, _r in [*variants(ru.ENCODING_WORDS), *[(rf"(?i){_B}{a}{_B}", b) for a, b in ru.SHORT_EXPANSIONS]]:
+    _EXPANDED = f"regexp_replace({_EXPANDED}, {q(_p)}, {q(_r)}, 'g')"
+_AUDIT = f"""WITH b AS (SELECT row_number() OVER () AS rid, id_review, final_clean_text AS f, CASE {' '.join(f"WHEN {ro._FULL(c)} THEN {c}" for c in ('text_after_sarcasm', 'final_clean_text', 'clean_text', 'raw_text'))} ELSE '' END AS base FROM corrected),
+t AS (SELECT rid, id_review, f, CASE WHEN base <> '' THEN {_EXPANDED} END AS t FROM b),
+w AS (SELECT token AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(final_clean_text, '')), '{_ES}')) AS token FROM complete) GROUP BY token),
+k AS (SELECT word, sum(n) AS n FROM (SELECT word, n FROM w WHERE n * 1e6 >= 20.0 * (SELECT sum(n) FROM w) UNION ALL SELECT unnest({lst(ru.PROTECTED_TERMS)}), 1) GROUP BY word),
+p AS (SELECT rid, unnest(x) AS part, unnest(range(len(x))) AS pos FROM (SELECT rid, regexp_extract_all(t, '(?i){_ES}|[^{_ES[1:]}') AS x FROM t)),
+u AS (SELECT DISTINCT lower(part) AS token FROM p WHERE regexp_matches(part, '(?i)^{_ES}$') AND part <> upper(part) AND length(part) > 2 AND NOT list_contains({lst(ru.PROTECTED_TERMS)}, lower(part)) AND lower(part) NOT IN (SELECT word FROM k)),
+n AS (SELECT token, word FROM (SELECT token, word, n, damerau_levenshtein({_BYTES('token')}, {_BYTES('word')}) AS d FROM u JOIN k ON abs(length(token) - length(word)) <= 2) WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY d, n DESC, word) = 1),
+c AS (SELECT rid, pos, CASE WHEN word IS NULL THEN part WHEN part = upper(part) AND length(part) > 1 THEN upper(word) WHEN part[1] = upper(part[1]) THEN upper(word[1]) || word[2:] ELSE word END AS part FROM p LEFT JOIN n ON lower(part) = token),
+o AS (SELECT rid, string_agg(part, '' ORDER BY pos) AS x FROM c GROUP BY rid),
+a AS (SELECT t.rid, id_review, f, CASE WHEN t IS NOT NULL THEN {_NORM_B("coalesce(x, '')")} END AS y FROM t LEFT JOIN o ON o.rid = t.rid)
+SELECT id_review, coalesce(CASE WHEN ends_with(y, '.') AND NOT ends_with(y, '...') THEN y[:-2] ELSE y END, f) AS final_clean_text FROM a"""
+
 ORACLES: dict[str, str] = {
+    "deep_audit": _AUDIT,
     "letter_repair_mined": _LETTERS_MINED,
     "mined_repair": _SPLITS_MINED,
     "safe_corrections": SAFE("corrected"),
