@@ -122,9 +122,12 @@ def position_sums(own: list[str], weights: np.ndarray) -> np.ndarray:
 
 def features(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all sentences in one array, and where each sentence starts."""
-    at, idx = (np.concatenate(x) for x in zip(*_hashed(own)))
+    parts = []
+    for lo in range(0, len(own), 4000):  # by parts, since hashes of all orders and their places are held at once
+        at, idx = (np.concatenate(x) for x in zip(*_hashed(own[lo : lo + 4000])))
+        parts.append(idx[np.argsort(at, kind="stable")])
     counts = n_grams(np.array([len(s) for s in own], dtype=np.int64))
-    return idx[np.argsort(at, kind="stable")], np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
 @dataclass
@@ -136,9 +139,9 @@ class Linear:
 def fit_linear(idx: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 8, l2: float = 1e-4, seed: int = 1) -> Linear:
     """Logistic loss over features scaled by naive Bayes log-count ratios; AdaGrad."""
     dim, end = 1 << BITS, np.append(start[1:], len(idx))
-    row = np.repeat(np.arange(len(start)), end - start)
-    pos = np.bincount(idx[y[row] == 1], minlength=dim) + 1.0
-    neg = np.bincount(idx[y[row] == 0], minlength=dim) + 1.0
+    row = np.repeat(np.arange(len(start), dtype=np.int32), end - start)
+    pos = np.bincount(idx[(y == 1)[row]], minlength=dim) + 1.0
+    neg = np.bincount(idx[(y == 0)[row]], minlength=dim) + 1.0
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum())).astype(np.float64)
     seen = (pos + neg) > 3  # n-grams of one sentence only tell nothing about others
     ratio[~seen] = 0.0
@@ -146,12 +149,14 @@ def fit_linear(idx: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.nda
     use = np.flatnonzero(ratio)
     number = np.full(dim, -1, dtype=np.int32)
     number[use] = np.arange(len(use), dtype=np.int32)
-    x_all = number[idx]
-    scale_all = ratio[idx] / length(end - start)[row]
-    known = x_all >= 0
-    counts = np.bincount(row[known], minlength=len(start))
+    known = ratio[idx] != 0
+    x_all, row = number[idx[known]], row[known]
+    del known
+    scale_all = ratio[use][x_all]
+    scale_all /= length(end - start)[row]
+    counts = np.bincount(row, minlength=len(start))
+    del row
     first = np.cumsum(counts) - counts
-    x_all, scale_all = x_all[known], scale_all[known]
     w, b = np.zeros(len(use)), 0.0
     gw, gb = np.full(len(use), 1e-6), 1e-6
     touched = np.zeros(len(use), dtype=bool)
