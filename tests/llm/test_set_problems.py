@@ -1,4 +1,5 @@
 import collections
+import fractions
 import math
 import re
 import unicodedata
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamiza.llm import mixing, overlap, packing, quality, quality_holdout, sampling
+from tamiza.llm import mixing, overlap, packing, quality, quality_holdout, queries, sampling
 
 
 def words(x):
@@ -226,3 +227,55 @@ def test_columns_are_bounded(spark):
     drawn = sampling.draw(few, sampling.quotas(few, need))
     assert {(r.category, r["count"]) for r in drawn.groupBy("category").count().collect()} == {("a", 300), ("b", 3000)}
     assert {(r.category, r.drawn) for r in sampling.shortfalls(drawn, need).collect()} == {("b", 3000), ("c", 0)}
+
+
+def test_reduced_keeps_margins():
+    """Blocks of columns, then what they leave: cells and column totals at their floor or ceiling, row totals exact, few cells left."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        r, c, blocks = int(rng.integers(1, 7)), int(rng.integers(1, 60)), int(rng.integers(1, 5))
+        count = {(f"r{i}", f"c{j:02d}"): int(rng.integers(1, 9)) for i in range(r) for j in range(c) if rng.random() < 0.8}
+        have = collections.Counter()
+        for (a, _), n in count.items():
+            have[a] += n
+        shares = {p: {a: (int(rng.integers(1, n + 1)), n) for a, n in sorted(have.items())} for p in "pq"}
+        got, left = {}, collections.defaultdict(dict)
+        for k in range(blocks):
+            block = [(f"c{j:02d}", [(a, n) for (a, b), n in count.items() if b == f"c{j:02d}"]) for j in range(k, c, blocks)]
+            parts = collections.Counter()
+            for p, a, b, q, x in sampling.reduced(block, shares):
+                got[p, a, b] = q
+                if x:
+                    left[p][a, b] = x
+                    parts[p] += 1
+            assert all(n <= 2 * r for n in parts.values())
+        for p, t in left.items():
+            for k, n in sampling.controlled_rounding(t).items():
+                got[(p, *k)] += n
+        for p, share in shares.items():
+            exact = {(a, b): fractions.Fraction(share[a][0] * n, share[a][1]) for (a, b), n in count.items()}
+            assert all(math.floor(v) <= got[(p, *k)] <= math.ceil(v) for k, v in exact.items())
+            for b in {b for _, b in exact}:
+                x = sum(v for k, v in exact.items() if k[1] == b)
+                assert math.floor(x) <= sum(got[(p, *k)] for k in exact if k[1] == b) <= math.ceil(x)
+            assert all(sum(got[(p, *k)] for k in exact if k[0] == a) == share[a][0] for a in share)
+
+
+def test_sample_of_many_sources(spark, tmp_path):
+    """p5_sample: more than 10 000 sources keep their names, and each its own share, as few do; the layout of the rows changes nothing."""
+    n, d = 10_500, F.col("id")
+    rows = spark.range(3 * n).select(F.concat(F.lit("r"), d.cast("string")).alias("id_review"), F.lit("texto").alias("final_clean_text"), F.when(d % 3 == 0, "Miedo").otherwise("Alegría").alias("emotion"), F.concat(F.lit("s"), F.floor(d / 3).cast("string")).alias("source"))
+    none = spark.createDataFrame([], "id_review string, intensity int, source string")
+    targets = spark.createDataFrame([("p", "fase5_records", "emotion", 50, "Alegría", 50, 1), ("p", "fase5_records", "emotion", 50, "Miedo", 30, 1)], "plan string, tbl string, field string, sample_pct int, category string, target_pct int, min_rows int")
+    out = []
+    for k in (1, 5):
+        at = str(tmp_path / str(k))
+        for name, df in (("fase5_records", rows.repartition(k)), ("complete", none), ("sample_targets", targets)):
+            df.write.parquet(f"{at}/{name}.parquet")
+        out.append(queries.p5_sample(spark, at).collect())
+    assert {tuple(r) for r in out[0]} == {tuple(r) for r in out[1]}
+    assert all(r.second == f"s{int(r.id[1:]) // 3}" for r in out[0])
+    # Every source has 2 of 21 000 and 1 of 10 500: 0.75 and 0.45 of them are drawn, 1.2 together.
+    assert collections.Counter(r.category for r in out[0]) == {"alegría": 7875, "miedo": 4725}
+    assert set(collections.Counter(r.second for r in out[0]).values()) == {1, 2} and len({r.second for r in out[0]}) == n
+    assert set(collections.Counter((r.second, r.category) for r in out[0]).values()) == {1}
